@@ -17,9 +17,9 @@ already connected. Before a comparison the registers give a collision-corrected
 Jaccard estimate, which rules out pairs far below the threshold; sets too small
 for the estimate skip it. A comparison intersects the full shingle sets.
 
-The probability that a pair at similarity 0.85 shares no band is about
-(1 - 0.85^4)^20 = 4e-7; the estimate's cut lies 5.5 standard errors below the
-threshold.
+There are as many bands of four registers as keep the probability that a pair at
+the threshold shares no band below ``miss`` (one in a million); the estimate's cut
+lies over five standard errors below the threshold.
 
 Nulls and edge cases: null, empty and blank texts have an empty set and link with
 nothing; rows repeated whole share their class; rows with a null id are compared
@@ -29,6 +29,7 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,9 +147,10 @@ class NearDuplicates:
     """The search over one table; ``classes()`` gives its result."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5,
-                 bands: int = 20, rows: int = 4, margin: float = 0.22, trusted: int = 256, pairs_per_class: int = 8) -> None:
+                 rows: int = 4, miss: float = 1e-6, margin: float = 0.22, trusted: int = 256, pairs_per_class: int = 8) -> None:
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
-        self.percent, self.width, self.bands, self.rows = percent, width, bands, rows
+        self.percent, self.width, self.rows = percent, width, rows
+        self.bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
         self.cut, self.trusted, self.pairs_per_class = percent / 100 - margin, trusted, pairs_per_class
 
     def _links(self, pairs: DataFrame) -> DataFrame:

@@ -13,12 +13,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def mixture_targets():
+    """Even sources, English at half, forms of text other than prose held down; half of the tokens."""
+    from .mixing import Targets
+
+    return Targets(
+        source={f"src{k}": 0.95 / 20 for k in range(20)} | {"*": 0.05},
+        lang={"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.15, "*": 0.01},
+        topic={"prose": 0.9, "table": 0.05, "symbols": 0.03, "shout": 0.02},
+        budget=0.5)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), mixture_targets())
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -26,7 +62,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op6_quality": op6_quality,
     "op8_minhash": op8_minhash,
 }
 
