@@ -9,10 +9,11 @@ the same shingle set become one class at once. Bands of compressed registers giv
 the candidate buckets.
 
 Candidates are never expanded to all pairs of a bucket. Each bucket's most
-connected class leads it and is compared with every other member; then the leader
-leaves the bucket, since all its pairs are settled. What remains is compared only
-between different components: pair by pair when that is few pairs, otherwise by
-another round of leaders. So no pair of a bucket is skipped unless its ends are
+connected class leads it and is compared with every other member. A bucket whose
+other members then lie in one component is settled. In the rest, only members of
+different components are compared: pair by pair in buckets of at most ``small``
+members, and in larger ones tile by tile inside tasks, which return only edges
+that join components. So no pair of a bucket is skipped unless its ends are
 already connected. Before a comparison the registers give a collision-corrected
 Jaccard estimate, which rules out pairs far below the threshold; sets too small
 for the estimate skip it. A comparison intersects the full shingle sets.
@@ -43,6 +44,8 @@ from .workspace import materialize
 
 MANTISSA = 10
 PROBES = 256
+#: That registers of different values agree: equal leading-zero counts (sum of 4^-k) and equal mantissas.
+CHANCE = 2.0 ** -MANTISSA / 3
 
 
 def _probe_order(registers: int) -> np.ndarray:
@@ -129,88 +132,135 @@ def _band_keys(rows: int, bands: int):
 
 
 def _estimator(cut: float, trusted: int):
-    chance = 2.0 ** -MANTISSA * (1 / 3 + 2 / 3 * 0.5)  # that registers of different values agree: equal zero counts, equal mantissas
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for name in ("regs_a", "regs_b"))
             agree = (a == b).mean(1)
-            estimate = (agree - chance) / (1 - chance)
+            estimate = (agree - CHANCE) / (1 - CHANCE)
             small = np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) < trusted
             yield batch.select(["a", "b"]).filter(pa.array((estimate >= cut) | small))
     return keep
 
 
+def _tile_verifier(percent: int, rows: int, cut: float, trusted: int):
+    """Links between the members of one pair of a large bucket's tiles, as edges that join components."""
+    def verify(table: pa.Table) -> pa.Table:
+        ids, size, side, root = (table.column(n).to_numpy() for n in ("id", "n_shingles", "side", "root"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
+        sets = table.column("shingles").combine_chunks()
+        start, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        label = np.unique(root, return_inverse=True)[1]
+        a, b = [], []
+        for x in left:
+            near = right[(label[right] != label[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
+            if same:
+                near = near[near > x]
+            if not len(near):
+                continue
+            equal = regs[near] == regs[x]
+            estimate = (equal.mean(1) - CHANCE) / (1 - CHANCE)
+            # a pair that shares an earlier band is settled in that band's bucket
+            earlier = equal[:, : band * rows].reshape(len(near), band, rows).all(2).any(1)
+            near = near[((estimate >= cut) | (np.minimum(size[near], size[x]) < trusted)) & ~earlier]
+            if not len(near):
+                continue
+            own = flat[start[x]:start[x + 1]]
+            parts = [flat[start[k]:start[k + 1]] for k in near]
+            joined = np.concatenate(parts)
+            found = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            both = np.add.reduceat(found, np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])), dtype=np.int64)
+            for k in near[both * 100 >= (size[near] + size[x] - both) * percent]:
+                if label[k] != label[x]:
+                    a.append(ids[x])
+                    b.append(ids[k])
+                    label[label == label[k]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return verify
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 class NearDuplicates:
     """The search over one table; ``classes()`` gives its result."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5,
-                 rows: int = 4, miss: float = 1e-6, margin: float = 0.22, trusted: int = 256, pairs_per_class: int = 8) -> None:
+                 rows: int = 4, miss: float = 1e-6, margin: float = 0.22, trusted: int = 256, small: int = 16,
+                 tile_rows: int = 512, tile_shingles: int = 1_000_000) -> None:
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.percent, self.width, self.rows = percent, width, rows
         self.bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
-        self.cut, self.trusted, self.pairs_per_class = percent / 100 - margin, trusted, pairs_per_class
+        self.cut, self.trusted, self.small = percent / 100 - margin, trusted, small
+        self.tile_rows, self.tile_shingles = tile_rows, tile_shingles
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """(id, shingles) of the wanted ids, recomputed from their texts. The ids grow with the table, so they are not broadcast."""
+        texts = self.docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).alias("text"))
+        some = texts.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
+        return materialize(some.mapInArrow(_set_reader(self.width), "id long, shingles array<long>"), "sets")
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those that reach the threshold on their full sets."""
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b), those that the registers' estimate does not rule out."""
         regs = self.reps.select("id", "regs", "n_shingles")
         sized = (pairs.join(regs.select(F.col("id").alias("a"), F.col("regs").alias("regs_a"), F.col("n_shingles").alias("n_a")), "a")
                  .join(regs.select(F.col("id").alias("b"), F.col("regs").alias("regs_b"), F.col("n_shingles").alias("n_b")), "b")
-                 # |A and B| is at most the smaller size and |A or B| at least the larger one
+                 # the intersection is at most the smaller size and the union at least the larger one
                  .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent))
-        likely = materialize(sized.mapInArrow(_estimator(self.cut, self.trusted), "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text_col).alias("text"))
-        # an id that is repeated in the table stands for any one of its texts with the class's set; reps name one id per set
-        sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_set_reader(self.width), "id long, shingles array<long>"), "sets")
+        return materialize(sized.mapInArrow(_estimator(self.cut, self.trusted), "a long, b long"), "likely")
+
+    def _links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that reach the threshold on their full sets."""
         a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
-        linked = likely.join(a, "a").join(b, "b").where(both * 100 >= (F.size("s") + F.size("t") - both) * self.percent)
-        return materialize(linked.select("a", "b").distinct(), "linked")
+        linked = pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("s") + F.size("t") - both) * self.percent)
+        return materialize(linked.select("a", "b"), "linked")
 
     def _leaders(self, members: DataFrame) -> DataFrame:
-        """Per bucket key, the member with the most mass of buckets; ties go to the least id."""
+        """Per bucket, the member with the most mass of buckets; ties go to the least id."""
         mass = members.groupBy("id").agg(F.sum("size").alias("mass"))
         ranked = members.join(mass, "id").select("key", F.struct(F.col("mass"), (-F.col("id")).alias("less")).alias("rank"))
         return ranked.groupBy("key").agg((-F.max("rank")["less"]).alias("leader"))
 
+    def _tile_links(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links inside large buckets, compared tile by tile; every member's set travels once per tile of its bucket."""
+        dealt = members.withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.col("tiles")))
+        full = dealt.join(self.reps.select("id", "regs", "n_shingles"), "id").join(sets, "id")
+        met = (full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+               .select("key", "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                       (F.col("tile") > F.col("other")).cast("int").alias("side"), "id", "root", "n_shingles", "regs", "shingles"))
+        verify = _tile_verifier(self.percent, self.rows, self.cut, self.trusted)
+        return materialize(met.groupBy("key", "i", "j").applyInArrow(verify, "a long, b long"), "tile-links")
+
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept — one row per input row."""
         registers = self.bands * self.rows
         sketch = materialize(sketches(self.docs, id_col=self.id_col, text_col=self.text_col, width=self.width, registers=registers), "sketch")
         named = sketch.where("n_shingles > 0 and doc_id is not null")
         self.reps = materialize(
-            named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "reps")
-        bands = self.reps.select("id", F.explode(_band_keys(self.rows, self.bands)).alias("key"))
-        shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = materialize(bands.join(shared, "key"), "members")
-        total = self.reps.count()
-        roots, found = None, None
-        while True:
-            leaders = materialize(self._leaders(members), "leaders")
-            led = members.join(leaders, "key")
-            pairs = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            fresh = self._links(pairs)
-            found = fresh if found is None else found.union(fresh)
-            roots = components(found)
-            rest = led.where("id <> leader").select("key", "id", "size")
-            placed = rest.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
-            # buckets whose remaining members lie in more than one component still hold unsettled pairs
-            split = (placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-                     .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("roots")).where("roots > 1"))
-            members = materialize(placed.join(split.select("key", F.expr("(n * n - nn) div 2").alias("open")), "key"), "open")
-            left = members.select("key", "open").distinct().agg(F.sum("open")).first()[0] or 0
-            if not left:
-                break
-            if left <= self.pairs_per_class * total:
-                x, y = members.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), members.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-                pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-                roots = components(found.union(self._links(pairs)))
-                break
-            members = members.select("key", "id", "size")
-        named_sets = self.reps.join(roots, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "id").alias("root"))
+            named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("regs", "doc_id").alias("regs")), "reps")
+        bands = self.reps.select("id", "n_shingles", F.posexplode(_band_keys(self.rows, self.bands)).alias("band", "key"))
+        shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 1")
+        tiles = F.greatest(F.ceil(F.col("size") / self.tile_rows), F.ceil(F.col("mass") / self.tile_shingles))
+        members = materialize(bands.join(shared.select("key", "size", tiles.alias("tiles")), "key").select("key", "band", "id", "size", "tiles"), "members")
+        led = members.join(materialize(self._leaders(members), "leaders"), "key").where("id <> leader")
+        rays = self._likely(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+        stars = self._links(rays, self._sets(ends(rays)))
+        roots = components(stars)
+        placed = materialize(led.join(roots, "id", "left").select("key", "band", "id", "size", "tiles", F.coalesce("root", "id").alias("root")), "placed")
+        # a bucket whose members, without its leader, lie in one component holds no unsettled pair
+        split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        unsettled = materialize(placed.join(split, "key"), "unsettled")
+        few, many = unsettled.where(F.col("size") <= self.small), unsettled.where(F.col("size") > self.small)
+        x, y = (few.select("key", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "ra"), ("b", "rb")))
+        crossing = self._likely(x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct())
+        sets = self._sets(ends(crossing).union(many.select("id")))
+        roots = components(stars.union(self._links(crossing, sets)).union(self._tile_links(many, sets)))
+        named_sets = materialize(self.reps.join(roots, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "id").alias("root")), "classes")
         out = sketch.join(named_sets, ["set_a", "set_b", "n_shingles"], "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
