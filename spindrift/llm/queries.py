@@ -48,6 +48,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_render import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_scores
 
@@ -67,6 +73,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import fit_forest, labelled_findings, scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), fit_forest(labelled_findings(spark)))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_boilerplate
 
@@ -77,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_html": op4_html,
     "op6_quality": op6_quality,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash": op8_minhash,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 
