@@ -54,6 +54,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data, fit_tagger
+
+    return find_personal_data(table(spark, sf_dir, "documents"), fit_tagger())
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_scores
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_html": op4_html,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash": op8_minhash,
