@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ("chunk",)
+TOPICS = ("chunk", "vector")
 
 
 def _modules():
