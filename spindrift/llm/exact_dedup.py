@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import materialize, whole_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,4 +64,4 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
-    return _judge(docs, id_col, text_col, salts, F.struct(*docs.columns)).where("kept").select("_carry.*")
+    return _judge(docs, id_col, text_col, salts, whole_row(docs)).where("kept").select("_carry.*")

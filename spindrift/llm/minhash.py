@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix, shingle_hashes, slices
-from .workspace import materialize
+from .workspace import materialize, whole_row
 
 MANTISSA = 10
 PROBES = 256
@@ -274,4 +274,5 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group: the rows whose id is their component's least one."""
     dropped = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(materialize(dropped, "near-dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_row(docs).alias("_row"))
+    return rows.join(materialize(dropped, "near-dropped"), F.col("_id") == F.col("_dropped"), "left_anti").select("_row.*")

@@ -32,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import whole_row
+
 REST = "*"
 
 
@@ -126,4 +128,4 @@ def mix(docs: DataFrame, targets: Targets, *, id_col: str = "doc_id", text_col:
 
 def sample_mixture(docs: DataFrame, targets: Targets, **options) -> DataFrame:
     """The drawn rows, with their own columns only."""
-    return mix(docs, targets, carry=F.struct(*docs.columns), **options).where("sampled").select("carried.*")
+    return mix(docs, targets, carry=whole_row(docs), **options).where("sampled").select("carried.*")

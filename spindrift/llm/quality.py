@@ -29,6 +29,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .workspace import whole_row
 
 FEATURES = 7
 LEVEL = 3
@@ -129,7 +132,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
     def texts_of(ids: list) -> DataFrame:
         wanted = spark.createDataFrame([(i,) for i in sorted(set(ids))], f"wanted {id_type}")
-        return docs.join(F.broadcast(wanted), F.col(id_col) == F.col("wanted"), "left_semi").select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        two = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return two.join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")
 
     start = F.expr(f"1 + pmod(xxhash64(id), greatest(1, char_length(text) - {slice_chars} + 1))").cast("int")
     slices = texts_of(list(for_dictionary)).select("id", F.substring(F.col("text"), start, F.lit(slice_chars)).alias("part")).orderBy("id", "part").collect()
@@ -163,8 +167,7 @@ def _scoring(model: QualityModel):
 
 def _scored(docs: DataFrame, model: QualityModel, carried: Column, text_col: str) -> DataFrame:
     two = docs.select(carried.alias("carried"), F.col(text_col).alias("text"))
-    kind = two.schema["carried"].dataType.simpleString()
-    return two.mapInArrow(_scoring(model), f"carried {kind}, score double")
+    return two.mapInArrow(_scoring(model), StructType([two.schema["carried"], StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -175,4 +178,4 @@ def quality_scores(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_i
 
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows that score at least ``threshold``, with their own columns only."""
-    return _scored(docs, model, F.struct(*docs.columns), text_col).where(F.col("score") >= threshold).select("carried.*")
+    return _scored(docs, model, whole_row(docs), text_col).where(F.col("score") >= threshold).select("carried.*")

@@ -1,0 +1,181 @@
+"""HTML rendering, personal data, vectors, secrets and line dedup."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spindrift.llm import char_tagger, embedding_dedup, html_render, line_dedup, pii, secret_scan
+from tests.llm.conftest import CLASHING, awkward_rows
+
+
+@pytest.mark.parametrize("markup, want", [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\n\nb"), ("a<br>b", "a\nb"), ("<b>x</b>y <i> z</i>", "xy z"), ("<div>a</div><div>b</div>", "a\nb"),
+    ("<head><title>no</title></head><body>yes", "yes"), ("<script>if(a<b){'</p>'}</script>x<style>p{}</style>", "x"), ("<p hidden>no</p><p style='display: none'>no</p><p>yes", "yes"),
+    ("<span style=\"visibility:hidden\">no</span>ok<!-- no -->", "ok"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("<ol start=9><li>x<li>y</ol>", "9. x\n10. y"), ("<pre> a\n  b</pre>", " a\n  b"),
+    ("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>", "a     bbb\ncccc  d"), ("<table><caption>T</caption><tr><th colspan=2>h<th>i</tr></table>", "T\nh    i"), ("<img alt='pic'>", "pic"), ("<input type=hidden value=x><input value=y>", "y"),
+    ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"), ("x<hr>y", "x\n\n---\n\ny"), ("a < b", "a < b"), ("<p>open <b>bold", "open bold"), ("<noscript>n</noscript><textarea>kept <b></textarea>", "kept <b>"), ("</p></div>a", "a"),
+])
+def test_rendering(markup, want):
+    assert html_render.render(markup) == want
+
+
+def test_deep_nesting_loses_no_text():
+    deep = "".join(f"<div>{k} " for k in range(3000))
+    assert html_render.render(deep).split() == [str(k) for k in range(3000)]
+    tables = "<table><tr><td>" * 400 + "x"
+    assert "x" in html_render.render(tables)
+
+
+def test_every_visible_word_is_emitted(spark, data_dir):
+    pages = spark.read.parquet(f"{data_dir}/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    for r in html_render.extract_text(pages).collect():
+        bare = re.sub(r"(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", "", raw[r.page_id])
+        import html
+        want = re.findall(r"\w+", html.unescape(re.sub(r"<[^>]*>", " ", bare)))
+        got = re.findall(r"\w+", r.text)
+        assert [w for w in got if w in set(want)] and not set(want) - set(re.findall(r"\w+", " ".join(got))) - {w for w in want if any(w in g for g in got)}
+        assert r.n_chars == len(r.text) and r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    empty = spark.createDataFrame([(None, None), (1, "")], "page_id long, html string").withColumn("text", F.lit(1))
+    assert [tuple(x) for x in html_render.extract_text(empty).select("text", "n_lines").collect()] == [("", 0)] * 2
+    assert html_render.extract_text(empty.limit(0)).count() == 0
+
+
+NAIVE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def naive(text):
+    out = {}
+    for kind, pattern in NAIVE.items():
+        spans = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(digits) <= 19 and pii.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if ok:
+                spans.append(m.span())
+        out[kind] = spans
+    return out
+
+
+def test_base_spans_equal_plain_patterns(spark, data_dir):
+    import random
+
+    rng = random.Random(1)
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("text").collect()]
+    texts += ["".join(rng.choice("0123456789@.+-() ab%é") for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["a@b.c@d.e", "@x.y", "x@@y.z", "1.2.3.4.5.6.7.8", "0001.2.3.255", "256.1.1.1", "4111 1111 1111 1111", "+1 (743) 555-3824", "x" * 50_000 + "@a.b", "1" * 5000]
+    for t in texts:
+        assert pii.base_spans(t) == naive(t)
+
+
+def test_tagger_gradient_and_windows():
+    rng = np.random.default_rng(0)
+    m = char_tagger.Tagger.fresh(5, 4, 3, rng)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    ids, tags = rng.integers(0, 98, (3, 7)), rng.integers(0, 5, (3, 7))
+    _, g = m.gradients(ids, tags)
+    for k, v in m.p.items():
+        at = tuple(rng.integers(0, n) for n in v.shape) if k != "emb" else (ids[0, 0], 1)
+        old = v[at]
+        v[at] = old + 1e-3
+        up = m.gradients(ids, tags)[0]
+        v[at] = old - 1e-3
+        down = m.gradients(ids, tags)[0]
+        v[at] = old
+        assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3
+    assert pii.reconcile([("card", 0, 5), ("card", 3, 9), ("phone", 8, 10), ("ip", 20, 24)]) == [("card", 0, 9), ("ip", 20, 24)]
+
+
+def test_tagger_held_out_and_operator(awkward, nothing):
+    model = pii.fit_tagger()
+    ids, tags = pii.windows_of(pii.labelled_texts(300, 99), 99)
+    assert (model.decode(ids) == tags).mean() > 0.97
+    text = "call +1 (269) 555-3296 4524132264652876 or mail me.12@mail3.example.com"
+    found, want = ({(k, *x) for k in range(len(ids)) for x in pii.spans_of_path(path[k])} for path in (model.decode(ids), tags))
+    assert 2 * len(found & want) / (len(found) + len(want)) > 0.7
+    for kind, s, e in pii.tagged([text], model)[0]:
+        assert pii.plausible(kind, text[s:e])
+    got = pii.find_personal_data(awkward, model).collect()
+    assert len(got) == len(awkward_rows()) and all(r.n_email == 0 for r in got)
+    assert {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.find_personal_data(nothing, model).count() == 0
+    assert pii.mask("mail a@b.c now", "email:5:10") == "mail [EMAIL] now"
+
+
+def brute_vectors(rows, threshold=0.98):
+    sound = {}
+    for k, (i, v, label) in enumerate(rows):
+        if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            sound[k] = np.array(v, np.float32).astype(float)
+    links, parent = {k: 0 for k in range(len(rows))}, list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sound:
+        for b in sound:
+            if a < b and rows[a][2] == rows[b][2] and len(sound[a]) == len(sound[b]):
+                x, y = sound[a], sound[b]
+                if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
+                    links[a] += 1
+                    links[b] += 1
+                    parent[find(a)] = find(b)
+    least = {}
+    for k in range(len(rows)):
+        if k in sound:
+            least[find(k)] = min(rows[k][0], least.get(find(k), rows[k][0]))
+    return [(rows[k][0], links[k], least[find(k)] if k in sound else rows[k][0]) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("tile_rows", [2048, 7])
+def test_vectors_equal_brute_force(spark, tile_rows):
+    rng = np.random.default_rng(3)
+    rows = [(0, None, 1), (1, [], 1), (2, [0.0] * 12, 1), (3, [1.0, None] + [0.0] * 10, 1), (4, [float("nan")] + [1.0] * 11, 1), (5, [float("inf")] + [1.0] * 11, 1), (6, [1.0] * 12, None), (7, [1.0] * 12, 2), (None, [1.0] * 12, 1), (8, [1.0, 2.0], 1), (9, [2.0, 4.0], 1)]
+    centre = rng.normal(size=12)
+    for k in range(40):
+        v = centre + rng.normal(size=12) * 0.02 * (k % 4) if k % 2 else rng.normal(size=12)
+        rows.append((50 + k, [float(np.float32(x)) for x in v], k % 3))
+    rows += [rows[-1], (200, rows[-3][1], rows[-3][2]), (201, [float(np.float32(x)) * 4 for x in rows[-5][1]], rows[-5][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    got = embedding_dedup.near_duplicate_vectors(df, tile_rows=tile_rows).collect()
+    assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id) for r in got))) == sorted(map(str, brute_vectors(rows)))
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_secrets(spark, awkward, nothing):
+    forest = secret_scan.fit_forest(secret_scan.labelled_findings(spark, 3000))
+    held = secret_scan.labelled_findings(spark, 6000).where("true")
+    scored = held.select("label", *secret_scan.features(F.col("value"), F.col("before"), F.col("after"))).select("label", secret_scan.forest_score(forest).alias("s")).collect()
+    assert np.mean([(r.s >= 0.5) == (r.label == 1) for r in scored]) > 0.97
+    text = 'é token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" and commit 2321bac4d15ec8f90433955bf9d3cf61da5bdd1e or 123e4567-e89b-12d3-a456-426614174000 x'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").withColumn("start", F.lit(0)).withColumn("value", F.lit(0))
+    got = sorted(secret_scan.scan_secrets(df, forest).collect(), key=lambda r: r.start_char)
+    assert [text[r.start_char:r.end_char][:8] for r in got] == ["2321bac4", "2321bac4", "123e4567"] and [r.is_secret for r in got] == [True, False, False]
+    texts = {i: t or "" for i, t, *_ in awkward_rows()}
+    want = sorted((i, m.start(), m.end()) for i, t in texts.items() if i is not None for m in re.finditer(secret_scan.CANDIDATE, t) if re.search("[0-9]|[a-z][A-Z]", m[0]))
+    assert sorted((r.doc_id, r.start_char, r.end_char) for r in secret_scan.scan_secrets(awkward, forest).collect() if r.doc_id is not None) == want
+    assert secret_scan.scan_secrets(nothing, forest).count() == 0
+    assert secret_scan.fit_forest(held.limit(0)) == [0.0]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    nav = "<nav>menu</nav>"
+    rows = [(k, f"https://Big.example.com/{k}", f"{nav}<p>page {k}</p><p>footer</p><!-- x --><script>var a='<p>';</script>" + ("<p>rare</p>" if k < 4 else "")) for k in range(40)]
+    rows += [(100 + k, "http://tiny.org/a", nav + "<p>x</p>") for k in range(3)] + [(200, None, None), (201, "nonsense", "<p>same</p><p>same</p>"), (202, "", ""), (0, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)]).withColumn("lines", F.lit(1)).withColumn("host", F.lit(2))
+    got = line_dedup.drop_boilerplate(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.host == "big.example.com":
+            assert r.text.split("\n") == [f"page {r.page_id}"] + (["rare"] if r.page_id < 4 else []) and r.n_dropped == 2
+        elif r.host == "tiny.org":
+            assert (r.n_lines, r.n_dropped) == (2, 0)
+        else:
+            assert r.n_dropped == 0
+    assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
