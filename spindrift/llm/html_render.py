@@ -220,9 +220,10 @@ def render_into(node: Node, out: Lines, pre: bool) -> None:
             out.put(table_lines(child))
             out.block(True)
         elif tag in ("ul", "ol", "menu"):
-            out.block(not out.done or tag != "li")
+            spaced = node.tag not in ("li", "ul", "ol")  # a nested list follows its item's line directly
+            out.block(spaced)
             out.put(list_lines(child, tag == "ol"))
-            out.block(True)
+            out.block(spaced)
         elif tag in BLOCK:
             out.block(tag in SPACED)
             render_into(child, out, pre or tag == "pre")

@@ -6,7 +6,6 @@ import re
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import minhash, mixing, packing, quality
 from spindrift.llm.components import components
 from spindrift.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from spindrift.llm.queries import mixture_targets, vocabulary
+from spindrift.llm.queries import ORACLE_SQL, QUERIES, mixture_targets, vocabulary
 from spindrift.llm.shingles import shingle_hashes
 from tests.llm.conftest import awkward_rows
 from tests.oracle import assert_same, duck
@@ -61,10 +60,9 @@ def test_exact_duplicates(spark, awkward, nothing):
     assert exact_duplicates(nothing).count() == 0 and drop_exact_duplicates(nothing).columns == nothing.columns
 
 
-def test_exact_query_matches_sql(spark, data_dir):
-    from spindrift.llm.queries import ORACLE_SQL, QUERIES
-
-    assert_same(QUERIES["op2_exact_dedup"](spark, data_dir).toPandas(), duck(ORACLE_SQL["op2_exact_dedup"], data_dir))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_twin(spark, data_dir, name):
+    assert_same(QUERIES[name](spark, data_dir).toPandas(), duck(ORACLE_SQL[name], data_dir))
 
 
 @pytest.mark.parametrize("options", [{}, {"small": 1, "tile_rows": 6}])

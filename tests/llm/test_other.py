@@ -16,7 +16,7 @@ from tests.llm.conftest import CLASHING, awkward_rows
     ("<head><title>no</title></head><body>yes", "yes"), ("<script>if(a<b){'</p>'}</script>x<style>p{}</style>", "x"), ("<p hidden>no</p><p style='display: none'>no</p><p>yes", "yes"),
     ("<span style=\"visibility:hidden\">no</span>ok<!-- no -->", "ok"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("<ol start=9><li>x<li>y</ol>", "9. x\n10. y"), ("<pre> a\n  b</pre>", " a\n  b"),
     ("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>", "a     bbb\ncccc  d"), ("<table><caption>T</caption><tr><th colspan=2>h<th>i</tr></table>", "T\nh    i"), ("<img alt='pic'>", "pic"), ("<input type=hidden value=x><input value=y>", "y"),
-    ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"), ("x<hr>y", "x\n\n---\n\ny"), ("a < b", "a < b"), ("<p>open <b>bold", "open bold"), ("<noscript>n</noscript><textarea>kept <b></textarea>", "kept <b>"), ("</p></div>a", "a"),
+    ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"), ("x<hr>y", "x\n\n---\n\ny"), ("a < b", "a < b"), ("<p>open <b>bold", "open bold"), ("<noscript>n</noscript><textarea>kept <b></textarea>", "kept <b>"), ("</p></div>a", "a"), ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "- a\n  - b\n  - c\n- d"),
 ])
 def test_rendering(markup, want):
     assert html_render.render(markup) == want
