@@ -189,3 +189,20 @@ def pool_errors(p: Column, old: Column | None = None) -> Column:
     if old is not None:
         checks.append((~p["workloadType"].eqNullSafe(old["workloadType"]), "workloadType is immutable"))
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in checks]), lambda x: x.isNotNull())
+
+
+def remote_list(index: DataFrame, wanted_type: str | None = None) -> DataFrame:
+    """Models of an index, of one type if given, with the description cut to fifty bytes and the size as shown."""
+    some = index.where(F.col("type") == wanted_type) if wanted_type else index
+    return some.select("name", "type", ellipsis(F.col("description")).alias("description"), format_bytes(F.col("size")).alias("size"))
+
+
+def preload_outcome(attempts: DataFrame, node: str) -> DataFrame:
+    """Per node: how many preloads worked; preloading fails only if there were some and all failed (``attempts``: node, ok)."""
+    done = attempts.groupBy(node).agg(F.count(F.lit(1)).alias("asked"), F.count_if("ok").alias("loaded"))
+    return done.withColumn("failed", F.col("loaded") == 0)
+
+
+def unload(loaded: DataFrame, models: list[str]) -> DataFrame:
+    """The residency table after unloading; pinned models stay (``loaded``: model, pinned)."""
+    return loaded.where(F.col("pinned") | ~F.col("model").isin(models))

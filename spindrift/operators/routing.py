@@ -183,10 +183,9 @@ def health(probes: DataFrame) -> DataFrame:
 
 
 def expand_status(pattern: Column) -> Column:
-    """``5xx`` to 500..599, a number to itself, else empty."""
-    base = F.regexp_extract(pattern, r"^([1-5])xx$", 1)
-    return (F.when(base != "", F.sequence(base.cast("int") * 100, base.cast("int") * 100 + 99))
-            .when(pattern.rlike(r"^[0-9]{1,9}$"), F.array(pattern.try_cast("int"))).otherwise(F.array().cast("array<int>")))
+    """``5xx`` to 500..599; patterns of any other form give nothing."""
+    base = F.regexp_extract(pattern, r"^([0-9]{1,6})xx$", 1)
+    return F.when(base != "", F.sequence(base.try_cast("int") * 100, base.try_cast("int") * 100 + 99)).otherwise(F.array().cast("array<int>"))
 
 
 def clamp_int32(value: Column) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOPICS = ("chunk", "vector", "routing", "request", "metric")
+TOPICS = ("chunk", "vector", "routing", "request", "metric", "plane")
 
 
 def _modules():

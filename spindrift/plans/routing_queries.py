@@ -183,6 +183,6 @@ ORACLE_SQL = {
     "endpoint_registry": "SELECT 'http://e' || user_id AS address, arg_min(event_type, event_id) AS pool, max(event_id) AS last_seen FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'",
     "endpoint_health": "SELECT 'http://e' || user_id AS address, coalesce(last(CASE WHEN event_type = 'error' THEN 500 WHEN event_type <> 'view' THEN 200 END ORDER BY event_id) = 200, false) AS healthy FROM events GROUP BY 1",
     "route_order": "SELECT (row_number() OVER (ORDER BY priority DESC, name) - 1)::INT AS place, name FROM " + values(ROUTES, "name, priority, o, m, t, s, e, d"),
-    "retry_statuses": "SELECT '5xx' AS pattern, unnest(generate_series(500, 599))::INT AS status UNION ALL SELECT '4xx', unnest(generate_series(400, 499))::INT UNION ALL SELECT '429', 429",
+    "retry_statuses": "SELECT '5xx' AS pattern, unnest(generate_series(500, 599))::INT AS status UNION ALL SELECT '4xx', unnest(generate_series(400, 499))::INT UNION ALL SELECT '6xx', unnest(generate_series(600, 699))::INT",
     "int_clamp": "SELECT o_orderkey, trunc(greatest(least(o_totalprice * (o_orderkey % 9 - 4) * 10000, 2147483647.0), -2147483648.0))::INT AS clamped FROM orders",
 }
