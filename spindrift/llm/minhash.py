@@ -150,7 +150,7 @@ def _tile_verifier(percent: int, rows: int, cut: float, trusted: int):
         ids, size, side, root = (table.column(n).to_numpy() for n in ("id", "n_shingles", "side", "root"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
         sets = table.column("shingles").combine_chunks()
-        start, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        start, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)  # sets are sorted as unsigned numbers
         band, same = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         label = np.unique(root, return_inverse=True)[1]

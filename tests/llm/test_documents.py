@@ -77,6 +77,21 @@ def test_near_duplicates_equal_brute_force(awkward, options):
             assert (r.component_id, r.n_shingles, r.kept) == (root[r.doc_id], size[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+def test_large_bucket_links_beside_its_leader(spark):
+    """Twenty pairs of near copies that share large buckets of one template; the leader joins at most its own pair there."""
+    common = [f"w{j}" for j in range(300)]
+    rows = []
+    for k in range(20):
+        own = common + [f"own{k}x{j}" for j in range(25)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-2] + [f"last{k}"] * 2))]
+    root, _ = brute_components(rows, 90)
+    assert len(set(root.values())) == 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"tile_rows": 6}):
+        got = minhash.near_duplicates(docs, percent=90, rows=1, **options).collect()
+        assert {r.doc_id: r.component_id for r in got} == root
+
+
 def test_near_drop_and_empty(awkward, nothing):
     root, _ = brute_components(awkward_rows(), 80)
     kept = minhash.drop_near_duplicates(awkward, percent=80)
