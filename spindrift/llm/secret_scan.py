@@ -1,7 +1,10 @@
 """Secret scan with a random forest that removes false positives (JVM expressions only).
 
 Candidates are runs of at least sixteen characters ``A-Za-z0-9+/_-`` that hold a
-digit or mix cases inside a word, with the text before and after them. Every
+digit or mix cases inside a word; tokens with a known key prefix; and whatever is
+quoted or assigned behind a secret word, of any length and characters (unquoted
+values end at white space, without closing quotes and ``,;.``). They may overlap; equal
+spans count once. Each has the 48 characters before and the 24 after it. Every
 candidate gets features from SQL functions: length, shares of character classes,
 class transitions, distinct characters, hexadecimal and UUID form, known key
 prefixes, the share covered by dictionary words, path form, and the neighbouring
@@ -27,12 +30,17 @@ from pyspark.sql import functions as F
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 BEFORE, AFTER = 48, 24
-SECRET_WORD = r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signature|session)[\w.-]{0,16}[\"']?\s{0,3}(=|:|=>|is|\s)\s{0,3}[\"'`]?(bearer\s+)?$"
+SECRET = r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signature|session)[\w.-]{0,16}[\"']?"
+SECRET_WORD = SECRET + r"\s{0,3}(:=|=>|=|:|is|\s)\s{0,3}[\"'`]?(bearer\s+)?$"
+#: What leads to a value: a secret word with an assignment, or with a space before a quotation; then the value, quoted or not.
+LEAD = SECRET + r"(\s{0,3}(:=|=>|=|:|\bis\b)\s{0,3}((bearer|basic)\s{1,3})?|\s{1,3}(?=[\"'`])|(?<=bearer)\s{1,3})"
+VALUE = r"^(?:([\"'`])(?!\1)([^\n]*?[^\n\\])\1|[\"'`]?([^\s\"'`]\S*))"
 HASH_WORD = r"(?i)(commit|sha-?(1|256|512)?|md5|checksum|digest|etag|hash|integrity|revision|blob|tree|uuid|guid|trace|request[_-]?id|version|build)[\w.-]{0,12}[\"']?\s{0,3}[=:\s]\s{0,3}[\"'`]?$"
 ASSIGNED = r"[=:]\s{0,3}[\"'`]?$"
 QUOTED = r"[\"'`]$"
 PATH_BEFORE = r"(https?://|/|\\|\.)[^\s\"']{0,40}$"
 KEY_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk-|sk_live_|pk_live_|rk_live_|AIza|ya29|eyJ|npm_|dop_v1_|SG)"
+PREFIXED = "(?<![A-Za-z0-9])" + KEY_PREFIX[1:] + r"[A-Za-z0-9+/_.\-]+={0,2}"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Words of prose and of program names; a key hardly ever holds several of them.
 WORDS = ("the and for that with this from have not are was tion ing ment able ness ally ible ent ous ive ure age ate "
@@ -57,27 +65,48 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
     return [c.cast("double").alias(name) for name, c in zip(NAMES, columns, strict=True)]
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """Array of (start, value): the matches of a pattern that never matches nothing."""
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # a match starts after the gaps and matches before it
+    return F.aggregate(
+        F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap")),
+        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,value:string>>").alias("found")),
+        lambda acc, m: F.struct(
+            (acc["end"] + F.char_length(m["gap"]) + F.char_length(m["value"])).alias("end"),
+            F.concat(acc["found"], F.array(F.struct((acc["end"] + F.char_length(m["gap"])).alias("start"), m["value"].alias("value")))).alias("found")),
+        lambda acc: acc["found"])
+
+
+def _led(text: Column, lead: Column) -> Column:
+    """(start, value) of the value behind a lead; an empty value where there is none."""
+    at = lead["start"] + F.char_length(lead["value"])
+    rest = F.substring(text, at + 1, F.char_length(text))
+    quoted = F.regexp_extract(rest, VALUE, 2)
+    bare = F.regexp_replace(F.regexp_extract(rest, VALUE, 3), "[\"'`,;.]+$", "")
+    return F.struct((at + F.when(rest.rlike("^[\"'`]"), 1).otherwise(0)).alias("start"), F.when(quoted != "", quoted).otherwise(bare).alias("value"))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, start, value, before, after — one row per candidate."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    cut = found.select("doc_id", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("_text", CANDIDATE, -1).alias("gaps"))
-    # a candidate starts after the gaps and candidates before it
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size("values") - 1), F.array(F.lit(0)),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(F.get("gaps", k)) + F.char_length(F.get("values", k)))))
-    parts = cut.withColumn("ends", ends)
-    each = F.transform("values", lambda v, k: F.struct(
-        (F.get("ends", k + 1) - F.char_length(v)).cast("long").alias("start"), v.alias("value"),
-        F.right(F.get("gaps", k), F.lit(BEFORE)).alias("before"), F.left(F.get("gaps", k + 1), F.lit(AFTER)).alias("after")))
-    likely = F.filter(each, lambda c: c["value"].rlike("[0-9]") | c["value"].rlike("[a-z][A-Z]"))
-    return parts.select("doc_id", F.inline(likely))
+    text = F.col("_text")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = found.where(text.rlike(CANDIDATE) | text.rlike(LEAD) | text.rlike(PREFIXED))
+    runs = F.filter(_matches(text, CANDIDATE), lambda c: c["value"].rlike("[0-9]") | c["value"].rlike("[a-z][A-Z]"))
+    prefixed = F.transform(_matches(text, PREFIXED), lambda c: F.struct(c["start"].alias("start"), F.regexp_replace(c["value"], "[.]+$", "").alias("value")))
+    led = F.filter(F.transform(_matches(text, LEAD), lambda c: _led(text, c)), lambda c: c["value"] != "")
+    spans = found.select("doc_id", "_text", F.explode(F.array_distinct(F.concat(runs, prefixed, led))).alias("_span"))
+    start, value = F.col("_span.start"), F.col("_span.value")
+    return spans.select(
+        "doc_id", start.cast("long").alias("start"), value.alias("value"),
+        F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE))).alias("before"),
+        F.substring(text, start + F.char_length(value) + 1, F.lit(AFTER)).alias("after"))
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """value, before, after, label: findings as reviewers see them, made by expressions from a row number."""
     base = spark.range(rows).select("id", F.md5(F.concat(F.lit("a"), F.col("id"))).alias("a"), F.md5(F.concat(F.lit("b"), F.col("id"))).alias("b"),
-                                    F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"), (F.col("id") % 16).alias("kind"))
+                                    F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"), (F.col("id") % 24).alias("kind"))
     hex40, wide = F.concat("a", F.substring("b", 1, 8)), F.regexp_replace(F.base64(F.unhex(F.concat("a", "b"))), "=+$", "")
     url_safe = F.translate(wide, "+/", "-_")
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("r") % len(xs) + 1).cast("int"))
@@ -85,6 +114,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     keyed = pick("token = \"", "api_key=", "SECRET: ", "password=\"", "access_key = '", "Authorization: Bearer ", "client_secret: \"", "auth_token => '", " un token = \"", "de token: ")
     hashed = pick("commit ", "sha256: ", "md5=", "etag: \"", "checksum: ", "revision ", "integrity=\"", "digest = \"", "request_id=", "build: ")
     prose = pick("of the ", "see ", "and then ", "the ", "in ", ". ", "de la ", "und ")
+    secret = pick("password=\"", "passwd: ", "pwd = '", "DB_PASSWORD=", "database_password = \"", "secret: '", "token=", "AWS_SECRET_ACCESS_KEY=", "password is \"", "GOOGLE_CLIENT_SECRET=", "auth: ", "session = ")
+    letters = F.translate("a", "0123456789", "ghijklmnop")
     uuid = F.concat_ws("-", F.substring("a", 1, 8), F.substring("a", 9, 4), F.substring("a", 13, 4), F.substring("a", 17, 4), F.substring("b", 1, 12))
     camel = F.concat(word(1), F.initcap(word(5)), F.initcap(word(9)), F.initcap(word(13)), F.when(F.col("r") % 2 == 0, F.col("r").cast("string")).otherwise(""))
     kinds: list[tuple[Column, Column, int]] = [
@@ -95,12 +126,21 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (camel, pick("call ", "function ", ".", "the ", "= "), 0), (F.concat_ws("/", word(1), word(5), word(9), word(13)), pick("/", "https://example.com/", "./", "in "), 0),
         (F.concat_ws("_", word(1), word(5), word(9), F.col("r").cast("string")), pick("set ", "import ", "", "the "), 0),
         (F.concat(word(1), word(5), word(9), F.lit("20"), F.col("r").cast("string")), prose, 0), (F.lpad(F.conv(F.substring("a", 1, 12), 16, 10), 16, "4"), prose, 0),
-        (F.concat_ws("-", word(1), word(5), word(9), F.col("r").cast("string")), pick("https://example.org/", "slug: ", "see ", "class=\""), 0)]
+        (F.concat_ws("-", word(1), word(5), word(9), F.col("r").cast("string")), pick("https://example.org/", "slug: ", "see ", "class=\""), 0),
+        (F.concat(F.initcap(word(1)), pick("&", "!", "@", "$", ".", "#", ""), (F.col("r") % 89 + 1).cast("string"), pick("", "!", "x")), secret, 1),
+        (F.translate(F.substring(F.col("a"), F.lit(1), (F.col("r") % 10 + 7).cast("int")), "02468ace", "T&o@$R!m"), secret, 1),
+        (F.substring(wide, F.lit(1), (F.col("r") % 12 + 8).cast("int")), secret, 1),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), pick("", "key ", "aws_access_key_id = ", "AWS_ACCESS_KEY_ID="), 1),
+        (F.when(F.col("r") % 2 == 0, letters).otherwise(F.upper(letters)), secret, 1),
+        (F.when(F.col("r") % 3 == 0, word(1)).otherwise(pick("true", "false", "null", "none", "required", "string", "expired", "invalid", "missing", "str", "None", "True", "the", "a")), secret, 0),
+        (F.concat(pick("${", "$", "config.", "os.environ.", "<", "{{", "get_"), F.when(F.col("r") % 2 == 0, F.upper(word(1))).otherwise(word(5)), pick("}", "", "()", ">", "}}", "_name")), secret, 0),
+        (F.when(F.col("r") % 2 == 0, (F.col("r") % 50).cast("string")).otherwise(F.concat(F.lit("sk-"), word(1))), F.when(F.col("r") % 2 == 0, secret).otherwise(prose), 0)]
     value, before, label = F.lit(""), F.lit(""), F.lit(0)
     for k, (v, p, y) in enumerate(kinds):
         here = F.col("kind") == k
         value, before, label = F.when(here, v).otherwise(value), F.when(here, p).otherwise(before), F.when(here, y).otherwise(label)
-    return base.select(value.alias("value"), before.alias("before"), F.when(before.rlike(QUOTED), "\" ").otherwise(" ").alias("after"), label.alias("label"))
+    after = F.when(before.rlike(QUOTED), F.concat(F.right(before, F.lit(1)), F.lit(" "))).otherwise(" ")
+    return base.select(value.alias("value"), before.alias("before"), after.alias("after"), label.alias("label"))
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, least: int):
