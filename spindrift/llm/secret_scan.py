@@ -104,7 +104,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """value, before, after, label: findings as reviewers see them, made by expressions from a row number."""
+    """value, before, after, label: findings as reviewers see them, made by expressions from a row number.
+
+    Each is written into a text and read back as a candidate, so that its context is one that scanning gives.
+    """
     base = spark.range(rows).select("id", F.md5(F.concat(F.lit("a"), F.col("id"))).alias("a"), F.md5(F.concat(F.lit("b"), F.col("id"))).alias("b"),
                                     F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"), (F.col("id") % 24).alias("kind"))
     hex40, wide = F.concat("a", F.substring("b", 1, 8)), F.regexp_replace(F.base64(F.unhex(F.concat("a", "b"))), "=+$", "")
@@ -139,8 +142,12 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     for k, (v, p, y) in enumerate(kinds):
         here = F.col("kind") == k
         value, before, label = F.when(here, v).otherwise(value), F.when(here, p).otherwise(before), F.when(here, y).otherwise(label)
-    after = F.when(before.rlike(QUOTED), F.concat(F.right(before, F.lit(1)), F.lit(" "))).otherwise(" ")
-    return base.select(value.alias("value"), before.alias("before"), after.alias("after"), label.alias("label"))
+    lead = pick("", "see it there. ", "x = 1\n", "export ", "de la casa ", "{\"a\": 1, ")
+    after = F.when(before.rlike(QUOTED), F.concat(F.right(before, F.lit(1)), F.lit(" "))).otherwise(pick(" ", "\n", ""))
+    written = base.select(F.concat(lead, before).alias("left"), value.alias("value"), after.alias("after"), label.alias("label")).select(
+        F.struct(F.char_length("left").alias("at"), "value", "label").alias("made"), F.concat("left", "value", "after").alias("text"))
+    read = candidates(written, "made", "text")
+    return read.where((F.col("start") == F.col("doc_id.at")) & (F.col("value") == F.col("doc_id.value"))).select("value", "before", "after", F.col("doc_id.label").alias("label"))
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, least: int):

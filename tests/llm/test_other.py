@@ -177,6 +177,14 @@ def test_secrets_of_any_length_and_characters(spark):
     assert {("required", False), ("${SECRET}", False)} <= got
 
 
+def test_secrets_behind_long_names(spark):
+    value = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"
+    for name in ("AWS_SECRET_ACCESS_KEY=", "GOOGLE_CLIENT_SECRET=", "my_database_password=", "AWS_SESSION_TOKEN_VALUE: "):
+        row = secret_scan.candidates(spark.createDataFrame([(1, f"x\nexport {name}{value}\nand more of it")], "i long, t string"), "i", "t").where(F.col("value") == value).collect()
+        assert [(r.before, r.after) for r in row] == [(f"x\nexport {name}", "\nand more of it")]
+    assert _secrets(spark, [f"AWS_SECRET_ACCESS_KEY={value}", f"BUILD_COMMIT_REVISION={value}"]) == {(value, True), (value, False)}
+
+
 def test_line_dedup_equals_brute_force(spark):
     nav = "<nav>menu</nav>"
     rows = [(k, f"https://Big.example.com/{k}", f"{nav}<p>page {k}</p><p>footer</p><!-- x --><script>var a='<p>';</script>" + ("<p>rare</p>" if k < 4 else "")) for k in range(40)]
