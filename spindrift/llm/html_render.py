@@ -1,7 +1,7 @@
 """Layout-aware rendering of HTML to text.
 
 A tree builder reads tags in any order, closes elements that HTML closes by
-implication (paragraphs, list items, table parts, options, definitions) and drops
+implication (the head, paragraphs, list items, table parts, options, definitions) and drops
 nothing but what is not shown: the head, comments, scripts, styles, templates and
 elements hidden by attribute or inline style. The renderer emits all visible
 text. White space collapses outside ``pre``; blocks start on lines of their own,
@@ -36,6 +36,8 @@ WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript iframe object svg math audio video canvas datalist".split())
+#: These leave an open head open; any other start tag and any text close it.
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("html body address article aside blockquote center details dialog div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody thead tfoot tr td th caption ul option optgroup select".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol pre table ul".split())
@@ -81,10 +83,10 @@ def build(markup: str) -> Node:
     while at < size:
         m = TOKEN.search(markup, at)
         if m is None:
-            open_nodes[-1].children.append(markup[at:])
+            _add_text(open_nodes, markup[at:])
             break
         if m.start() > at:
-            open_nodes[-1].children.append(markup[at:m.start()])
+            _add_text(open_nodes, markup[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -99,6 +101,8 @@ def build(markup: str) -> Node:
             continue
         if tag in ("html",):
             continue
+        if open_nodes[-1].tag == "head" and tag not in IN_HEAD:
+            open_nodes.pop()
         _imply(open_nodes, tag)
         node = Node(tag, is_hidden(tag, m[3]), m[3])
         open_nodes[-1].children.append(node)
@@ -116,6 +120,12 @@ def build(markup: str) -> Node:
     return root
 
 
+def _add_text(open_nodes: list[Node], text: str) -> None:
+    if open_nodes[-1].tag == "head" and text.strip(" \t\n\r\f"):
+        open_nodes.pop()
+    open_nodes[-1].children.append(text)
+
+
 def _imply(open_nodes: list[Node], tag: str) -> None:
     """Close what a start tag closes by implication."""
     if tag in CLOSES_P:

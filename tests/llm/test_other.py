@@ -22,6 +22,13 @@ def test_rendering(markup, want):
     assert html_render.render(markup) == want
 
 
+@pytest.mark.parametrize("markup, want", [
+    ("<html><head><title>T</title><p>Text", "Text"), ("<head><meta charset=x><style>p{}</style>\n<noscript>n</noscript>Text <b>more</b>", "Text more"), ("<head> <title>T</title> </head> a", "a"),
+])
+def test_head_ends_by_implication(markup, want):
+    assert html_render.render(markup) == want
+
+
 def test_deep_nesting_loses_no_text():
     deep = "".join(f"<div>{k} " for k in range(3000))
     assert html_render.render(deep).split() == [str(k) for k in range(3000)]
