@@ -3,7 +3,7 @@
 A tree builder reads tags in any order, closes elements that HTML closes by
 implication (the head, paragraphs, list items, table parts, options, definitions) and drops
 nothing but what is not shown: the head, comments, scripts, styles, templates and
-elements hidden by attribute or inline style. The renderer emits all visible
+elements hidden by attribute or inline style, or what drawings and formulas only define or describe. The renderer emits all visible
 text. White space collapses outside ``pre``; blocks start on lines of their own,
 paragraph-like ones behind a blank line; list items get bullets or numbers and an
 indent; the cells of a table are padded so that its columns line up.
@@ -35,16 +35,18 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collap
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math audio video canvas datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist".split())
+#: Not shown inside of svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath annotation annotation-xml".split())
 #: These leave an open head open; any other start tag and any text close it.
 IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("html body address article aside blockquote center details dialog div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody thead tfoot tr td th caption ul option optgroup select".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol pre table ul".split())
 #: A start tag of the key closes an open element of the value, unless one of the walls lies between.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "caption"}, "td": {"td", "th"}, "th": {"td", "th"},
-          "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"},
-          "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}}
+PARTS = {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th", "caption", "colgroup"}, "th": {"td", "th", "caption", "colgroup"},
+          "tbody": PARTS, "thead": PARTS, "tfoot": PARTS, "caption": {"colgroup"}, "colgroup": {"caption", "colgroup"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}}
 WALLS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 
@@ -55,6 +57,7 @@ class Node:
     hidden: bool = False
     attrs: str = ""
     children: list = field(default_factory=list)
+    apart: bool = False  # a text of a drawing
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -104,9 +107,10 @@ def build(markup: str) -> Node:
         if open_nodes[-1].tag == "head" and tag not in IN_HEAD:
             open_nodes.pop()
         _imply(open_nodes, tag)
-        node = Node(tag, is_hidden(tag, m[3]), m[3])
+        foreign = any(n.tag in ("svg", "math") for n in open_nodes)
+        node = Node(tag, is_hidden(tag, m[3]) or foreign and tag in UNDRAWN, m[3], apart=foreign and tag == "text")
         open_nodes[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and (tag not in RAW or foreign):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(markup, at)
@@ -234,7 +238,7 @@ def render_into(node: Node, out: Lines, pre: bool) -> None:
             out.block(spaced)
             out.put(list_lines(child, tag == "ol"))
             out.block(spaced)
-        elif tag in BLOCK:
+        elif tag in BLOCK or child.apart:
             out.block(tag in SPACED)
             render_into(child, out, pre or tag == "pre")
             out.block(tag in SPACED)
@@ -291,11 +295,11 @@ def table_lines(node: Node) -> list[str]:
         for c in shown(part):
             if isinstance(c, Node) and c.tag == "tr":
                 cells(c)
-            elif isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot"):
+            elif isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot", "colgroup"):
                 parts(c)
             elif isinstance(c, Node) and c.tag in ("td", "th"):
                 loose.append(c)
-            elif isinstance(c, Node) and c.tag not in ("col", "colgroup") or isinstance(c, str) and c.strip():
+            elif isinstance(c, Node) and c.tag != "col" or isinstance(c, str) and c.strip():
                 before.extend(lines_of(Node("div", children=[c])))
         if loose:
             cells(Node("tr", children=loose))

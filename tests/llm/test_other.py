@@ -29,6 +29,16 @@ def test_head_ends_by_implication(markup, want):
     assert html_render.render(markup) == want
 
 
+@pytest.mark.parametrize("markup, want", [
+    ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"), ("<table><colgroup><col><thead><tr><th>h<tbody><tr><td>a</table>", "h\na"), ("<table><colgroup><col></colgroup><tr><td>a</table>", "a"),
+    ("<table><caption>T<colgroup><col><tbody><tr><td>a</table>", "T\na"), ("<table><colgroup>stray<tr><td>a</table>", "stray\na"), ("<table><colgroup><col><td>a</table>", "a"),
+    ("x <svg><title/><defs><path/></defs><text x=1>one</text><text>two</text></svg>", "x\none\ntwo"), ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+    ("<svg><desc>no</desc><g><text>one</text></g></svg><desc>shown</desc> <text>in</text>line", "one\nshown inline"),
+])
+def test_colgroups_drawings_and_formulas(markup, want):
+    assert html_render.render(markup) == want
+
+
 def test_deep_nesting_loses_no_text():
     deep = "".join(f"<div>{k} " for k in range(3000))
     assert html_render.render(deep).split() == [str(k) for k in range(3000)]
