@@ -22,7 +22,7 @@ import functools
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,8 +179,8 @@ def spans_of_path(path: np.ndarray) -> list[tuple[str, int, int]]:
     return [(KINDS[kind[s] - 1], int(s), int(e)) for s, e in zip(edge, ends, strict=True) if kind[s]]
 
 
-def reconcile(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Join spans of one kind that overlap, then keep the longer of overlapping kinds (ties: the earlier)."""
+def reconcile(found: list[tuple[str, int, int]], holds: Callable[[str, int, int], bool] = lambda kind, s, e: True) -> list[tuple[str, int, int]]:
+    """Join spans of one kind that overlap, then keep, of those that hold, the longer of overlapping kinds (ties: the earlier)."""
     joined: list[tuple[str, int, int]] = []
     for kind in KINDS:
         last: list[int] | None = None
@@ -195,7 +195,7 @@ def reconcile(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
             joined.append((kind, *last))
     kept: list[tuple[str, int, int]] = []
     for k, s, e in sorted(joined, key=lambda x: (x[1] - x[2], x[1])):
-        if all(e <= s2 or s >= e2 for _, s2, e2 in kept):
+        if holds(k, s, e) and all(e <= s2 or s >= e2 for _, s2, e2 in kept):
             kept.append((k, s, e))
     return sorted(kept, key=lambda x: x[1])
 
@@ -242,7 +242,7 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[str, int, int]]]:
                 e -= 1
             if s < e:
                 trimmed.append((kind, s, e))
-        out.append([x for x in reconcile(trimmed) if EVIDENCE.search(text, x[1], x[2]) and plausible(x[0], text[x[1]:x[2]])])
+        out.append(reconcile(trimmed, lambda k, s, e, text=text: bool(EVIDENCE.search(text, s, e)) and plausible(k, text[s:e])))
     return out
 
 

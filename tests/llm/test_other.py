@@ -106,6 +106,16 @@ def test_tagger_gradient_and_windows():
     assert pii.reconcile([("card", 0, 5), ("card", 3, 9), ("phone", 8, 10), ("ip", 20, 24)]) == [("card", 0, 9), ("ip", 20, 24)]
 
 
+def test_implausible_span_leaves_the_plausible_one_inside(monkeypatch):
+    text = "call 12345 030 1234567 99999 now"  # as a card, the whole run fails the check digit and is too long
+    spans = [("card", 5, 28), ("phone", 11, 22)]
+    assert pii.reconcile(spans, lambda k, s, e: pii.plausible(k, text[s:e])) == [("phone", 11, 22)]
+    # the tagger's own path: its windows decode to these two spans
+    monkeypatch.setattr(pii, "reconcile", lambda found, *rest, real=pii.reconcile: real(spans, *rest))
+    model = pii.fit_tagger(rows=20, epochs=1)
+    assert pii.tagged([text], model) == [[("phone", 11, 22)]]
+
+
 def test_tagger_held_out_and_operator(awkward, nothing):
     model = pii.fit_tagger()
     ids, tags = pii.windows_of(pii.labelled_texts(300, 99), 99)
