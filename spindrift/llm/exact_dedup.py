@@ -12,9 +12,11 @@ partition of a hot digest.
 Nulls and edge cases: a null text counts as the empty text; empty texts are equal
 to each other. A null id ranks below every other id; a group of null ids only has
 a null ``keep_id`` and all its rows are kept. Rows repeated whole (same id, same
-text) share one id, so they share ``kept``. Other columns are ignored by
-``exact_duplicates`` and carried unchanged by ``drop_exact_duplicates``. An empty
-table gives an empty table.
+text) share one id, so they share ``kept`` in ``exact_duplicates``, which marks
+rows; ``drop_exact_duplicates`` lets one row of a text stay, also of rows repeated
+whole or with null ids. Other columns are ignored by ``exact_duplicates`` and
+carried unchanged by ``drop_exact_duplicates``. An empty table gives an empty
+table. Very long texts are whole cells of two shuffles.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, whole_row
+from .workspace import materialize, one_of_repeats, whole_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,4 +66,5 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
-    return _judge(docs, id_col, text_col, salts, whole_row(docs)).where("kept").select("_carry.*")
+    kept = _judge(docs, id_col, text_col, salts, whole_row(docs)).where("kept").select("doc_id", "_digest", "_carry")
+    return one_of_repeats(kept, "doc_id", ["_digest"], docs.select(id_col)).select("_carry.*")

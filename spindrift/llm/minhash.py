@@ -23,9 +23,10 @@ the threshold shares no band below ``miss`` (one in a million); the estimate's c
 lies over five standard errors below the threshold.
 
 Nulls and edge cases: null, empty and blank texts have an empty set and link with
-nothing; rows repeated whole share their class; rows with a null id are compared
-with nothing and come back with a null component that is kept. Other columns are
-ignored. An empty table gives an empty table.
+nothing; rows repeated whole share their class, and ``drop_near_duplicates`` lets
+one of them stay; rows with a null id are compared with nothing and come back with
+a null component that is kept. Ids must be integers or castable to them. Other
+columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_parts import give_back, raw_texts, text_parts
 from .components import components
-from .shingles import mix, shingle_hashes, slices
-from .workspace import materialize, whole_row
+from .shingles import mix, shingle_hashes
+from .workspace import materialize, one_of_repeats, whole_row
 
 MANTISSA = 10
 PROBES = 256
@@ -91,20 +93,20 @@ def register_table(hashes: np.ndarray, doc: np.ndarray, docs: int, registers: in
 
 def _sketcher(width: int, registers: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
-            for start, stop in slices(texts):
-                n = stop - start
-                h, d = shingle_hashes(texts[start:stop], width)
-                regs = register_table(h, d, n, registers)
-                size = np.bincount(d, minlength=n).astype(np.int64)
-                first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                if len(h):
-                    at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                    first[d[at]] = np.add.reduceat(mix(h + np.uint64(1)), at)
-                    second[d[at]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                raw = pa.array([r.tobytes() for r in regs], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, n), pa.array(size), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), raw], ["doc_id", "n_shingles", "set_a", "set_b", "regs"])
+        for part in text_parts(batches):
+            n = part.num_rows
+            h, d = shingle_hashes(raw_texts(part.column(1)), width)
+            regs = register_table(h, d, n, registers)
+            size = np.bincount(d, minlength=n).astype(np.int64)
+            first, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            if len(h):
+                at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                first[d[at]] = np.add.reduceat(mix(h + np.uint64(1)), at)
+                second[d[at]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+            raw = pa.array([r.tobytes() for r in regs], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), raw],
+                ["doc_id", "n_shingles", "set_a", "set_b", "regs"])
     return sketch
 
 
@@ -116,13 +118,11 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int, registe
 
 def _set_reader(width: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
-            for start, stop in slices(texts):
-                h, d = shingle_hashes(texts[start:stop], width)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=stop - start)))).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), sets], ["id", "shingles"])
+        for part in text_parts(batches):
+            h, d = shingle_hashes(raw_texts(part.column(1)), width)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=part.num_rows)))).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["id", "shingles"])
     return read
 
 
@@ -271,8 +271,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return NearDuplicates(docs, **options).classes()
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group: the rows whose id is their component's least one."""
-    dropped = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_row(docs).alias("_row"))
-    return rows.join(materialize(dropped, "near-dropped"), F.col("_id") == F.col("_dropped"), "left_anti").select("_row.*")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group: the row whose id is its component's least one; rows with a null id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept")
+    dropped = materialize(found.select(F.col("doc_id").alias("_dropped")).distinct(), "near-dropped")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_same"), whole_row(docs).alias("_row"))
+    kept = rows.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")
+    ids = docs.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null")
+    return one_of_repeats(kept, "_id", ["_id", "_same"], ids).select("_row.*")

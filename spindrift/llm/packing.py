@@ -9,10 +9,11 @@ within their length and meet their pattern's slot by that rank. Ranks need no
 task that sees a whole length: pieces are ranked in buckets of a length, and the
 buckets' counts (a bounded number) give each bucket's first rank.
 
-Every distinct word is encoded once per worker by the tokenizer's own BPE model;
-texts are split at single spaces that follow a non-space, where the tokenizer's
-pattern always splits too. The memo is cleared at ``MEMO`` entries. Words outside
-Latin script go to the tokenizer whole.
+Frequent words are encoded once per task by the tokenizer's own BPE model; texts
+are split at single spaces that follow a non-space, where the tokenizer's pattern
+always splits too. A memo keeps two generations of ``MEMO`` words of at most
+``LONGEST`` characters and ends with its task. Words outside Latin script go to
+the tokenizer whole.
 
 Nulls and edge cases: a null or empty text has the end id only. Rows repeated
 whole are packed as often as they occur; a null id is kept. Other columns are
@@ -21,6 +22,7 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -33,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arrow_parts import text_parts
 from .workspace import materialize
 
-MEMO = 700_000
+#: Words of one generation of a memo, and the longest word that is kept.
+MEMO, LONGEST = 200_000, 64
 #: The white space that the tokenizer's pattern knows, as the inside of a character class.
 SPACES = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 AFTER_SPACE = re.compile(f"[{SPACES}] ")
@@ -53,55 +57,73 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+@functools.cache
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class WordMemo(dict):
-    """Word to its ids as little-endian 32-bit integers; fills itself."""
+    """Word to its ids as little-endian 32-bit integers; fills itself. When it is full, it becomes the old generation."""
 
     def __init__(self, tokenizer, lead: str) -> None:
         super().__init__()
         self.tokenizer, self.lead, self.alphabet = tokenizer, lead, _byte_alphabet()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        text = self.lead + word
+        raw = self.old.get(word) or self.ids(self.lead + word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = raw
+        return raw
+
+    def ids(self, text: str) -> bytes:
+        bare = text[len(self.lead):]
+        if bare.isascii() and bare.isalpha():  # one piece whose bytes stand for themselves
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(self.lead.translate(self.alphabet) + bare)]).tobytes()
         if BEYOND_LATIN.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             model, alphabet = self.tokenizer.model, self.alphabet
             ids = [t.id for piece in PIECE.findall(text) for t in model.tokenize(piece.encode().decode("latin-1").translate(alphabet))]
-        raw = np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else array("I", ids).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = raw
-        return raw
+        return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else array("I", ids).tobytes()
+
+
+class Encoder:
+    """Texts to their ids; the memos live as long as the encoder, which is one task's."""
 
+    def __init__(self, vocabulary: str) -> None:
+        self.plain, self.spaced = WordMemo(_tokenizer(vocabulary), ""), WordMemo(_tokenizer(vocabulary), " ")
 
-_ENCODERS: dict[str, tuple[WordMemo, WordMemo]] = {}
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if AFTER_SPACE.search(text):
+            return b"".join(map(self.plain.__getitem__, CHUNK.findall(text)))
+        first, *rest = text.split(" ")
+        return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
 def encode(text: str, vocabulary: str) -> bytes:
     """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-    if vocabulary not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[vocabulary] = WordMemo(tokenizer, ""), WordMemo(tokenizer, " ")
-    plain, spaced = _ENCODERS[vocabulary]
-    if not text:
-        return b""
-    if AFTER_SPACE.search(text):
-        return b"".join(map(plain.__getitem__, CHUNK.findall(text)))
-    first, *rest = text.split(" ")
-    return (plain[first] if first else b"") + b"".join(map(spaced.__getitem__, rest))
+    return Encoder(vocabulary)(text)
 
 
 def _cutter(vocabulary: str, size: int, end_id: int):
     tail = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        encoder = Encoder(vocabulary)
+        for part in text_parts(batches):
             row, start, length, crc, total = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = encode(text or "", vocabulary) + tail
+            for k, text in enumerate(part.column(1).to_pylist()):
+                raw = encoder(text or "") + tail
                 n = len(raw) // 4
                 for s in range(0, n, size):
                     row.append(k)
@@ -110,7 +132,7 @@ def _cutter(vocabulary: str, size: int, end_id: int):
                     crc.append(zlib.crc32(raw[4 * s:4 * (s + size)]))
                     total.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
+                [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     return cut
 

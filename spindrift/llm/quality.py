@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .arrow_parts import text_parts
 from .workspace import whole_row
 
 FEATURES = 7
@@ -142,9 +143,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = measurer(good, bad, block)
-        for batch in batches:
-            x = [measure(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+        for part in text_parts(batches):
+            x = [measure(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
 
     measured: dict = {r["id"]: r["x"] for r in texts_of([i for i, _ in for_fit]).mapInArrow(features, f"id {id_type}, x array<double>").collect()}
     found = [(measured[i], y) for i, y in sorted(for_fit) if i in measured]
@@ -160,8 +161,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 def _scoring(model: QualityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], ["carried", "score"])
+        for part in text_parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(part.column(1).to_pylist()), pa.float64())], ["carried", "score"])
     return score
 
 

@@ -79,15 +79,3 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     h, d = h[order], d[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
     return h[new], d[new]
-
-
-def slices(texts: list[bytes], limit: int = 1 << 21):
-    """(start, stop) ranges of about ``limit`` bytes, so that work arrays stay small."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
