@@ -16,7 +16,7 @@ from spindrift.llm.mixing import sample_mixture
 from spindrift.llm.packing import pack
 from spindrift.llm.quality import fit_quality, keep_good
 from spindrift.llm.queries import mixture_targets, table, vocabulary
-from spindrift.llm.workspace import materialize
+from spindrift.llm.workspace import materialize, scratch
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``; every table but the last stage's result is deleted on the way."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
+    with scratch(spark) as outputs:
+        for name, stage in STAGES:
+            with scratch(spark):
+                docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", scope=None if name == STAGES[-1][0] else outputs)
     return docs
