@@ -1,16 +1,21 @@
 """Layout-aware rendering of HTML to text.
 
 A tree builder reads tags in any order, closes elements that HTML closes by
-implication (the head, paragraphs, list items, table parts, options, definitions) and drops
-nothing but what is not shown: the head, comments, scripts, styles, templates and
-elements hidden by attribute or inline style, or what drawings and formulas only define or describe. The renderer emits all visible
-text. White space collapses outside ``pre``; blocks start on lines of their own,
-paragraph-like ones behind a blank line; list items get bullets or numbers and an
-indent; the cells of a table are padded so that its columns line up.
-
-The text of a page is processed whole. Nesting deeper than ``DEPTH`` is flattened
-(the content of deeper elements joins the element at that depth), so no text is
-lost. Unclosed tags end with the page; an unfinished tag at the end is text.
+implication (the head, paragraphs, list items, table parts, options, definitions)
+and drops nothing but what is not shown: the head, comments, scripts, styles,
+templates, elements hidden by attribute or inline ``display:none``, and what
+drawings and formulas only define or describe. ``visibility`` is inherited and can be
+taken back by an inner element. Only inline styles count; style sheets are not read.
+The renderer emits all visible text. White space collapses outside ``pre``; blocks
+start on lines of their own, paragraph-like ones behind a blank line; list items get
+bullets or numbers and an indent; the cells of a table are padded to its columns,
+with column and row spans, by the width that wide scripts take.
+
+A page is processed whole, in time linear in its markup, at any nesting: open
+elements are found by name, and rendering keeps its own stack. Lists and tables
+inside of ``LEVELS`` others keep their text as plain blocks, because each level
+would widen all lines in it. Unclosed tags end with the page; an unfinished tag at
+the end is text.
 
 Nulls and edge cases: null and empty markup give the empty text. Rows repeated
 whole are rendered each. Other columns are ignored. An empty table gives an empty
@@ -19,8 +24,11 @@ table.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 150
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+from .arrow_parts import text_parts
+
+LEVELS = 12
+#: The most columns and rows that HTML lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: A tag; only a value behind ``=`` is quoted. Nothing is tried twice, so a match is linear.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,99 +70,137 @@ class Node:
     attrs: str = ""
     children: list = field(default_factory=list)
     apart: bool = False  # a text of a drawing
+    seen: bool | None = None  # what the element's own style says of visibility
 
 
 def attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(raw):
         value = m[2] or ""
-        out.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in ('"', "'") else value))
+        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+        out.setdefault(m[1].lower(), html.unescape(value[1:-1] if quoted else value))
     return out
 
 
-def is_hidden(tag: str, raw: str) -> bool:
+def visibility_of(tag: str, raw: str) -> tuple[bool, bool | None]:
+    """Whether the element is not displayed, and whether its style shows or hides its text."""
     if tag in UNSEEN:
-        return True
+        return True, None
     low = raw.lower()
     if "hidden" not in low and "style" not in low:
-        return False
+        return False, None
     found = attributes(raw)
-    return "hidden" in found or bool(HIDDEN_STYLE.search(found.get("style", ""))) or (tag == "input" and found.get("type", "").lower() == "hidden")
+    style = {}
+    for rule in found.get("style", "").lower().split(";"):
+        name, _, value = rule.partition(":")
+        style[name.strip()] = value.replace("!important", "").strip()
+    gone = "hidden" in found or style.get("display") == "none" or tag == "input" and found.get("type", "").lower() == "hidden"
+    return gone, {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""))
+
+
+class Tree:
+    """Open elements, with the places of each name, so that no search walks over them."""
+
+    def __init__(self) -> None:
+        self.root = Node("html")
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside of it."""
+        for node in self.open[place:]:
+            self.places[node.tag].pop()
+        del self.open[place:]
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these names; 0 where there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def text(self, raw: str) -> None:
+        if raw:
+            if self.open[-1].tag == "head" and raw.strip(" \t\n\r\f"):
+                self.cut(len(self.open) - 1)
+            self.open[-1].children.append(raw)
+
+    def end(self, tag: str) -> None:
+        place = self.last([tag])
+        # a stray end tag doesn't leave its cell
+        if place and (tag in LEAVES_CELLS or place >= self.last(CELLS)):
+            self.cut(place)
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag closes by implication."""
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.cut(len(self.open) - 1)
+        if tag in CLOSES_P and (place := self.last(["p"])) > self.last(P_WALLS):
+            self.cut(place)
+        closes = CLOSES.get(tag)
+        if closes and (place := self.last(closes)) > self.last(WALLS.get(tag, {"table"})):
+            while place > 1 and self.open[place - 1].tag in closes:
+                place -= 1
+            self.cut(place)
+
+    @property
+    def foreign(self) -> bool:
+        return bool(self.places.get("svg") or self.places.get("math"))
+
+
+CELLS = ("td", "th", "table")
+LEAVES_CELLS = frozenset("table tr tbody thead tfoot body html".split())
+P_WALLS = ("td", "th", "table", "li", "div", "section", "article", "dd", "dt", "button")
 
 
 def build(markup: str) -> Node:
     """The tree of a page."""
-    root = Node("html")
-    open_nodes = [root]
-    at, size = 0, len(markup)
+    tree, at, size = Tree(), 0, len(markup)
+    low = markup.lower() if markup.isascii() else "".join(c.lower() if c < "\x80" else c for c in markup)
     while at < size:
-        m = TOKEN.search(markup, at)
-        if m is None:
-            _add_text(open_nodes, markup[at:])
+        sign = markup.find("<", at)
+        if sign < 0 or sign + 1 == size:
+            tree.text(markup[at:])
             break
-        if m.start() > at:
-            _add_text(open_nodes, markup[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        then = markup[sign + 1]
+        if then in "!?":
+            tree.text(markup[at:sign])
+            comment = markup.startswith("<!--", sign)
+            end = markup.find("-->", sign + 2) if comment else markup.find(">", sign)  # "<!-->" is a whole comment
+            at = size if end < 0 else end + (3 if comment else 1)
+            continue
+        if not (then.isascii() and then.isalpha() or then == "/" and markup[sign + 2:sign + 3].isalpha()):
+            tree.text(markup[at:sign + 1])
+            at = sign + 1
             continue
-        tag = m[2].lower()
+        m = TAG.match(markup, sign)
+        if m is None:  # no tag ends any more
+            tree.text(markup[at:])
+            break
+        tree.text(markup[at:sign])
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[k].tag == tag:
-                    del open_nodes[k:]
-                    break
-                if open_nodes[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break  # a stray end tag doesn't leave its cell
+            tree.end(tag)
             continue
-        if tag in ("html",):
+        if tag == "html":
             continue
-        if open_nodes[-1].tag == "head" and tag not in IN_HEAD:
-            open_nodes.pop()
-        _imply(open_nodes, tag)
-        foreign = any(n.tag in ("svg", "math") for n in open_nodes)
-        node = Node(tag, is_hidden(tag, m[3]) or foreign and tag in UNDRAWN, m[3], apart=foreign and tag == "text")
-        open_nodes[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and (tag not in RAW or foreign):
+        tree.imply(tag)
+        foreign = tree.foreign
+        gone, seen = visibility_of(tag, m[3])
+        node = Node(tag, gone or foreign and tag in UNDRAWN, m[3], apart=foreign and tag == "text", seen=seen)
+        tree.open[-1].children.append(node)
+        if tag in VOID or foreign and m[3].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(markup, at)
-            node.children.append(markup[at:end.start() if end else size])
-            at = end.end() if end else size
-        elif len(open_nodes) < DEPTH:
-            open_nodes.append(node)
-        elif node.hidden:  # too deep to keep open: find its end so that hidden text stays hidden
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(markup, at)
-            at = end.end() if end else size
-    return root
-
-
-def _add_text(open_nodes: list[Node], text: str) -> None:
-    if open_nodes[-1].tag == "head" and text.strip(" \t\n\r\f"):
-        open_nodes.pop()
-    open_nodes[-1].children.append(text)
-
-
-def _imply(open_nodes: list[Node], tag: str) -> None:
-    """Close what a start tag closes by implication."""
-    if tag in CLOSES_P:
-        for k in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[k].tag == "p":
-                del open_nodes[k:]
-                break
-            if open_nodes[k].tag in ("td", "th", "table", "li", "div", "section", "article", "dd", "dt", "button"):
-                break
-    closes = CLOSES.get(tag)
-    if closes:
-        walls = WALLS.get(tag, {"table"})
-        for k in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[k].tag in walls:
-                return
-            if open_nodes[k].tag in closes:
-                outer = k
-                while outer > 1 and open_nodes[outer - 1].tag in closes:
-                    outer -= 1
-                del open_nodes[outer:]
-                return
+            found = re.compile(rf"</{tag}(?=[\s/>])").search(low, at)
+            end = found.start() if found else -1
+            node.children.append(markup[at:size if end < 0 else end])
+            close = markup.find(">", end) if end >= 0 else -1
+            at = size if close < 0 else close + 1
+        else:
+            tree.push(node)
+    return tree.root
 
 
 class Lines:
@@ -212,57 +262,67 @@ def shown(node: Node) -> list:
     return [c for c in node.children if not (isinstance(c, Node) and c.hidden)]
 
 
-def render_into(node: Node, out: Lines, pre: bool) -> None:
-    for child in shown(node):
+def render_into(node: Node, out: Lines, pre: bool, level: int, seen: bool) -> None:
+    """Emit what a node shows. The stack holds what is left of each open node and what its end does."""
+    stack = [(iter(shown(node)), None, pre, seen, node.tag)]
+    while stack:
+        rest, spaced, pre, seen, parent = stack[-1]
+        child = next(rest, None)
+        if child is None:
+            stack.pop()
+            if spaced is not None:
+                out.block(spaced)
+            continue
         if isinstance(child, str):
-            out.text(html.unescape(child) if "&" in child else child, pre)
+            if seen:
+                out.text(html.unescape(child) if "&" in child else child, pre)
             continue
-        tag = child.tag
+        tag, here = child.tag, seen if child.seen is None else child.seen
         if tag == "br":
             out.end(force=True)
         elif tag == "hr":
             out.block(True)
-            out.put(["---"])
+            if here:
+                out.put(["---"])
             out.block(True)
         elif tag in ("img", "input"):
             found = attributes(child.attrs)
             label = found.get("alt", "") if tag == "img" else found.get("value", "") or found.get("placeholder", "")
-            if label:
+            if label and here:
                 out.text(f" {label} ", False)
-        elif tag == "table":
+        elif tag == "table" and level < LEVELS:
             out.block(True)
-            out.put(table_lines(child))
+            out.put(table_lines(child, level + 1, here))
             out.block(True)
-        elif tag in ("ul", "ol", "menu"):
-            spaced = node.tag not in ("li", "ul", "ol")  # a nested list follows its item's line directly
-            out.block(spaced)
-            out.put(list_lines(child, tag == "ol"))
-            out.block(spaced)
+        elif tag in ("ul", "ol", "menu") and level < LEVELS:
+            nested = parent not in ("li", "ul", "ol")  # a nested list follows its item's line directly
+            out.block(nested)
+            out.put(list_lines(child, tag == "ol", level + 1, here))
+            out.block(nested)
         elif tag in BLOCK or child.apart:
             out.block(tag in SPACED)
-            render_into(child, out, pre or tag == "pre")
-            out.block(tag in SPACED)
+            stack.append((iter(shown(child)), tag in SPACED, pre or tag == "pre", here, tag))
         else:
-            render_into(child, out, pre or tag == "textarea")
+            stack.append((iter(shown(child)), None, pre or tag == "textarea", here, tag))
 
 
-def lines_of(node: Node, pre: bool = False) -> list[str]:
+def lines_of(node: Node, level: int = 0, seen: bool = True) -> list[str]:
     out = Lines()
-    render_into(node, out, pre)
+    render_into(node, out, False, level, seen if node.seen is None else node.seen)
     return out.result()
 
 
-def list_lines(node: Node, ordered: bool) -> list[str]:
+def list_lines(node: Node, ordered: bool, level: int, seen: bool) -> list[str]:
     start = attributes(node.attrs).get("start", "1") if ordered else "1"
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
     out: list[str] = []
     loose = Node("div")
     for child in [*shown(node), Node("li")]:
         if isinstance(child, Node) and child.tag == "li":
             if loose.children:
-                out.extend("  " + x if x else x for x in lines_of(loose))
+                out.extend("  " + x if x else x for x in lines_of(loose, level, seen))
                 loose = Node("div")
-            lines = lines_of(child)
+            lines = lines_of(child, level, seen)
             if lines:
                 mark = f"{number}. " if ordered else "- "
                 out.append(mark + lines[0])
@@ -273,66 +333,120 @@ def list_lines(node: Node, ordered: bool) -> list[str]:
     return out
 
 
-def table_lines(node: Node) -> list[str]:
+def wide(line: str) -> int:
+    """Columns that a line takes."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in line)
+
+
+def span_of(node: Node, name: str, most: int) -> int:
+    if name not in node.attrs.lower():
+        return 1
+    value = attributes(node.attrs).get(name, "").strip()
+    digits = re.match(r"[0-9]+", value)
+    if not digits or len(digits[0]) > 9:
+        return most if digits else 1
+    return min(int(digits[0]), most) or (most if name == "rowspan" else 1)
+
+
+class Grid:
+    """Cells at the columns that spans of earlier rows leave free."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.held: list[tuple[int, int, int]] = []  # (first column, column behind, last row) of cells that reach into later rows
+
+    def add(self, cells: list[tuple[list[str], int, int]]) -> None:
+        row, at, now = [], 0, len(self.rows)
+        self.held = [h for h in self.held if h[2] >= now]
+        new = []
+        for lines, columns, rows in cells:
+            k = max(bisect.bisect_right(self.held, (at, MOST_COLUMNS * len(self.held) + at + 1, 0)) - 1, 0)
+            while k < len(self.held) and self.held[k][0] <= at:
+                at = max(at, self.held[k][1])
+                k += 1
+            row.append((at, lines))
+            if rows > 1:
+                new.append((at, at + columns, now + rows - 1))
+            at += columns
+        self.held = sorted(self.held + new) if new else self.held
+        self.rows.append(row)
+
+    def lines(self) -> list[str]:
+        width: dict[int, int] = defaultdict(int)
+        for row in self.rows:
+            for at, cell in row:
+                width[at] = max(width[at], max(map(wide, cell), default=0))
+        offset, place, before = {}, 0, -1
+        for at in sorted(width):  # columns in which no cell starts leave one gap together
+            place += 2 * (at > before + 1)
+            offset[at] = place
+            place += width[at] + 2
+            before = at
+        out = []
+        for row in self.rows:
+            for k in range(max((len(cell) for _, cell in row), default=0)):
+                line, reach = [], 0
+                for at, cell in row:
+                    if k < len(cell) and cell[k]:
+                        line.append(" " * (offset[at] - reach) + cell[k])
+                        reach = offset[at] + wide(cell[k])
+                out.append("".join(line).rstrip())
+        return out
+
+
+def table_lines(node: Node, level: int, seen: bool) -> list[str]:
     """Rows of padded cells; text outside of rows (captions, strays) comes first."""
-    rows: list[list[list[str]]] = []
-    before: list[str] = []
+    grid, before = Grid(), []
+
+    def inner(child, seen: bool) -> list[str]:
+        return lines_of(child if isinstance(child, Node) and child.tag in ("td", "th") else Node("div", children=[child]), level, seen)
 
-    def cells(part: Node) -> None:
-        row: list[list[str]] = []
-        for c in shown(part):
+    def row_of(children: list, seen: bool) -> None:
+        cells = []
+        for c in children:
             if isinstance(c, Node) and c.tag in ("td", "th"):
-                row.append(lines_of(c))
-                span = attributes(c.attrs).get("colspan", "1") if "colspan" in c.attrs.lower() else "1"
-                row.extend([] for _ in range(min(int(span), 100) - 1 if span.isdecimal() else 0))
+                cells.append((inner(c, seen), span_of(c, "colspan", MOST_COLUMNS), span_of(c, "rowspan", MOST_ROWS)))
             elif isinstance(c, Node) or c.strip():
-                row.append(lines_of(Node("div", children=[c])))
-        if row:
-            rows.append(row)
-
-    def parts(part: Node) -> None:
-        loose: list = []
-        for c in shown(part):
-            if isinstance(c, Node) and c.tag == "tr":
-                cells(c)
-            elif isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot", "colgroup"):
-                parts(c)
-            elif isinstance(c, Node) and c.tag in ("td", "th"):
-                loose.append(c)
-            elif isinstance(c, Node) and c.tag != "col" or isinstance(c, str) and c.strip():
-                before.extend(lines_of(Node("div", children=[c])))
-        if loose:
-            cells(Node("tr", children=loose))
-
-    parts(node)
-    width: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if k == len(width):
-                width.append(wide)
-            else:
-                width[k] = max(width[k], wide)
-    out = list(before)
-    for row in rows:
-        for line in range(max(map(len, row))):
-            out.append("  ".join((cell[line] if line < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
-    return out
+                cells.append((inner(c, seen), 1, 1))
+        if cells:
+            grid.add(cells)
+
+    stack = [(iter(shown(node)), seen, [])]
+    while stack:
+        rest, seen, loose = stack[-1]
+        c = next(rest, None)
+        if c is None:
+            row_of(loose, seen)
+            stack.pop()
+            continue
+        here = seen if isinstance(c, str) or c.seen is None else c.seen
+        if isinstance(c, Node) and c.tag == "tr":
+            row_of(shown(c), here)
+        elif isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot", "colgroup"):
+            stack.append((iter(shown(c)), here, []))
+        elif isinstance(c, Node) and c.tag in ("td", "th"):
+            loose.append(c)
+        elif isinstance(c, Node) and c.tag != "col" or isinstance(c, str) and c.strip():
+            before.extend(inner(c, seen))
+    return before + grid.lines()
 
 
 def render(markup: str | None) -> str:
     """All visible text of a page."""
     lines = lines_of(build(markup)) if markup else []
-    while lines and not lines[0]:
-        del lines[0]
-    while lines and not lines[-1]:
-        del lines[-1]
-    return "\n".join(lines)
+    first, last = 0, len(lines)
+    while first < last and not lines[first]:
+        first += 1
+    while last > first and not lines[last - 1]:
+        last -= 1
+    return "\n".join(lines[first:last])
 
 
 def _renderer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(x) for x in batch.column(1).to_pylist()], pa.string())], ["page_id", "text"])
+    for part in text_parts(batches):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) for x in part.column(1).to_pylist()], pa.string())], ["page_id", "text"])
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
