@@ -2,22 +2,25 @@
 
 The patterns give the base spans (email, ip, card, phone) of every whole text.
 The tagger adds spans of forms that the patterns miss (kinds ``email_like`` to
-``phone_like``): it is trained in numpy from labelled spans, reads overlapping
-windows, and its decoded spans are reconciled over the whole text: pieces of one
-kind that overlap or touch across windows are joined, of different kinds the
-longer one stays, and a span that meets a base span goes. A span must hold a digit
-or ``@`` and pass its kind's check, so windows without such a character cannot
-give one and are not run; the result is the same as with all windows.
+``phone_like``): addresses written out with "at" and "dot" or with spaces, national
+telephone numbers, numbers broken by a line end, and numbers of a card's form whose
+check digit is wrong. It is trained in numpy from labelled spans and reads every
+text whole in overlapping windows. Decoded spans are reconciled over the text: a
+span that a window's edge cuts is left to the neighbour that sees it whole; pieces
+of one kind that overlap are joined; of overlapping kinds the longer one stays
+among those that hold, and a span that meets a base span goes.
 
 Offsets are code points, end exclusive.
 
-Nulls and edge cases: a null text is empty and has no spans. Rows repeated whole
-give their own rows. Other columns are ignored. An empty table gives an empty
-table. Very long texts are read whole; their windows run in chunks.
+Nulls and edge cases: a null text is empty and has no spans. Ids must be integers
+or castable to them; a null id is kept. Rows repeated whole give their own rows.
+Other columns are ignored. An empty table gives an empty table. Very long texts are
+read whole, their windows in chunks, in time linear in length and spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_parts import text_parts
 from .char_tagger import Tagger, char_ids, train
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -40,7 +44,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EVIDENCE = re.compile(r"[0-9@]")
-WINDOW, STRIDE, CHUNK = 96, 48, 512
+#: Windows of training; of reading (their lengths in steps of LENGTHS for a text's last one) and how far they lie apart; windows at a time.
+SAMPLE, WINDOW, STRIDE, CHUNK = 96, 320, 256, 1024
+LENGTHS = (64, 160, WINDOW)
+PART_BYTES = 1 << 20
+AT_SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -91,12 +99,12 @@ def plausible(kind: str, raw: str) -> bool:
     """What an added span of a kind must look like."""
     digits = digits_of(raw)
     if kind == "email":
-        return "@" in raw and bool(re.search(r"[A-Za-z]{2}", raw))
+        return bool(AT_SIGN.search(raw)) and bool(re.search(r"[A-Za-z]{2}", raw))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", raw)
         return len(parts) == 4 and all(map(_small, parts))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[A-Za-z]", raw)
+        return 15 <= len(digits) <= 19 and not re.search(r"[A-Za-z]", raw)
     return 9 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", raw) and bool(re.search(r"[^0-9]", raw))
 
 
@@ -110,33 +118,40 @@ def labelled_texts(rows: int, seed: int) -> list[tuple[str, list[tuple[str, int,
         return w.capitalize() if rng.random() < 0.15 else w
 
     def card() -> str:
-        body = rng.choice("3456") + number(14)
-        return next(body + d for d in "0123456789" if luhn(body + d))
+        body = number(15)
+        return body + (next(d for d in "0123456789" if luhn(body + d)) if rng.random() < 0.5 else number(1))
 
     def entity(kind: str) -> str:
         if kind == "email":
             user = rng.choice([word(), f"{word()}.{number(2)}", f"{word()}_{word()}", word() + number(3)]).encode("ascii", "ignore").decode() or "me"
             host = f"{rng.choice(['mail', 'example', 'inbox', 'post'])}{rng.choice(['', number(1)])}.{rng.choice(['com', 'org', 'example.com', 'net', 'de'])}"
-            return rng.choice([f"{user}@{host}", f"{user} @ {host}", f"{user}@{host.split('.')[0]}", f"{user}@{host.replace('.', ' . ')}"])
+            shut = rng.choice(["[]", "()", "{}"])
+            written = lambda word: f"{rng.choice(['', ' '])}{shut[0]}{word}{shut[1]}{rng.choice(['', ' '])}"
+            spelled = user + written("at") + host.replace(".", written("dot"))
+            return rng.choice([f"{user}@{host}", f"{user} @ {host}", f"{user}@{host.split('.')[0]}", f"{user}@{host.replace('.', ' . ')}", spelled, f"{user}{written('at')}{host}"])
         if kind == "ip":
             parts = [str(rng.randint(1, 255)) for _ in range(4)]
             return rng.choice([".".join(parts), ".".join(parts), "[.]".join(parts), " . ".join(parts)])
         if kind == "card":
             d = card()
-            sep = rng.choice(["", "", " ", "-", ".", "/"])
-            return sep.join(d[k:k + 4] for k in range(0, 16, 4))
+            sep = rng.choice(["", "", "", " ", "-", ".", "/"])
+            parts = [d[k:k + 4] for k in range(0, 16, 4)]
+            if sep and rng.random() < 0.2:  # broken by a line end
+                k = rng.randint(1, 3)
+                return sep.join(parts[:k]) + "\n" + sep.join(parts[k:])
+            return sep.join(parts)
         a, b, c = number(3), number(3), number(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+44 {number(4)} {number(6)}", f"+{number(2)}-{a}-{b}-{c}", f"({a}) {b} {c}", f"0{number(2)} / {number(7)}", f"{a}.{b}.{c}"])
+        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+44 {number(4)} {number(6)}", f"+{number(2)}-{a}-{b}-{c}", f"({a}) {b} {c}", f"0{number(2)} / {number(7)}", f"{a}.{b}.{c}", f"+1 ({a})\n{b}-{c}"])
 
     def decoy() -> str:
         return rng.choice([
             f"20{number(2)}-0{rng.randint(1, 9)}-1{number(1)}", f"1{number(1)}:{rng.randint(10, 59)}", f"{number(1)}.{number(1)}.{number(2)}", f"${number(3)}.{number(2)}", number(rng.randint(1, 7)),
-            f"{number(2)},{number(3)}", hashlib.md5(number(9).encode()).hexdigest(), f"@{word()}", f"v{number(1)}.{number(2)}", f"CC BY-NC {number(1)}.0", f"{number(4)}-{number(4)}", f"No. {number(5)}", f"{number(2)}%", f"token = \"{hashlib.sha1(number(9).encode()).hexdigest()}\""])
+            f"{number(2)},{number(3)}", hashlib.md5(number(9).encode()).hexdigest(), f"@{word()}", f"v{number(1)}.{number(2)}", f"CC BY-NC {number(1)}.0", f"{number(4)}-{number(4)}", f"No. {number(5)}", f"{number(2)}%", number(rng.randint(20, 30)), f"token = \"{hashlib.sha1(number(9).encode()).hexdigest()}\""])
 
     out = []
     for _ in range(rows):
         text, spans = "", []
-        while len(text) < WINDOW + STRIDE:
+        while len(text) < SAMPLE + SAMPLE // 2:
             roll = rng.random()
             if roll < 0.10:
                 kind = rng.choice(KINDS)
@@ -154,19 +169,19 @@ def labelled_texts(rows: int, seed: int) -> list[tuple[str, list[tuple[str, int,
 def windows_of(texts: list[tuple[str, list[tuple[str, int, int]]]], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """One window of ids and tags per labelled text, at a random place."""
     rng = np.random.default_rng(seed)
-    ids, tags = np.zeros((len(texts), WINDOW), np.int64), np.zeros((len(texts), WINDOW), np.int64)
+    ids, tags = np.zeros((len(texts), SAMPLE), np.int64), np.zeros((len(texts), SAMPLE), np.int64)
     for k, (text, spans) in enumerate(texts):
-        at = int(rng.integers(0, len(text) - WINDOW + 1))
+        at = int(rng.integers(0, len(text) - SAMPLE + 1))
         tag = np.zeros(len(text), np.int64)
         for kind, s, e in spans:
             tag[s:e] = 2 + 2 * KINDS.index(kind)
             tag[s] -= 1
-        ids[k], tags[k] = char_ids(text)[at:at + WINDOW], tag[at:at + WINDOW]
+        ids[k], tags[k] = char_ids(text)[at:at + SAMPLE], tag[at:at + SAMPLE]
     return ids, tags
 
 
 @functools.cache
-def fit_tagger(rows: int = 4000, epochs: int = 5, seed: int = 11) -> Tagger:
+def fit_tagger(rows: int = 4000, epochs: int = 12, seed: int = 11) -> Tagger:
     """The tagger trained on ``rows`` labelled texts; kept for the life of the process."""
     return train(*windows_of(labelled_texts(rows, seed), seed), 1 + 2 * len(KINDS), epochs=epochs, seed=seed)
 
@@ -193,80 +208,121 @@ def reconcile(found: list[tuple[str, int, int]], holds: Callable[[str, int, int]
                 last = [s, e]
         if last:
             joined.append((kind, *last))
-    kept: list[tuple[str, int, int]] = []
+    free, kept = Free(), []
     for k, s, e in sorted(joined, key=lambda x: (x[1] - x[2], x[1])):
-        if holds(k, s, e) and all(e <= s2 or s >= e2 for _, s2, e2 in kept):
+        if holds(k, s, e) and free.take(s, e):
             kept.append((k, s, e))
     return sorted(kept, key=lambda x: x[1])
 
 
+class Free:
+    """Which places of a text no span has taken yet."""
+
+    def __init__(self, taken: list[tuple[int, int]] | None = None) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(taken or []):  # joined, because base spans of different kinds may overlap
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def has(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e) - 1  # the last taken span that starts before e
+        return k < 0 or self.ends[k] <= s
+
+    def take(self, s: int, e: int) -> bool:
+        if not self.has(s, e):
+            return False
+        k = bisect.bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+        return True
+
+
+def windows(size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows of a text; only the last one is shorter than ``WINDOW``."""
+    start = 0
+    while start < size:
+        yield start, min(start + WINDOW, size)
+        if start + WINDOW >= size:
+            return
+        start += STRIDE
+
+
+def own_spans(path: np.ndarray, start: int, end: int, size: int) -> Iterator[tuple[str, int, int]]:
+    """A window's spans as places of the text, without those that an edge cuts and a neighbour sees whole."""
+    for kind, s, e in spans_of_path(path[:end - start]):
+        s, e = s + start, e + start
+        cut_left = s == start > 0 and e <= start - STRIDE + WINDOW
+        cut_right = e == end < size and s >= start + STRIDE
+        if not (cut_left or cut_right):
+            yield kind, s, e
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s] in " \n\t,;:":
+        s += 1
+    while e > s and text[e - 1] in " \n\t,;:.":
+        e -= 1
+    return s, e
+
+
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[str, int, int]]]:
-    """The tagger's reconciled spans of every text."""
+    """The tagger's reconciled spans of every text; every window of every text is read."""
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    owners, starts, rows = [], [], []
-    waiting = 0
-
-    def flush() -> None:
-        nonlocal waiting
-        if rows:
-            for k, at, path in zip(owners, starts, model.decode(np.stack(rows)), strict=True):
-                found[k].extend((kind, at + s, at + e) for kind, s, e in spans_of_path(path))
-        owners.clear()
-        starts.clear()
-        rows.clear()
-        waiting = 0
+    waiting: dict[int, list[tuple[int, int, int, np.ndarray]]] = {n: [] for n in LENGTHS}
+
+    def flush(length: int) -> None:
+        some = waiting[length]
+        ids = np.zeros((len(some), length), np.int64)
+        for row, (_, _, _, part) in zip(ids, some, strict=True):
+            row[:len(part)] = part
+        paths = model.decode(ids) if some else ids
+        for k in np.flatnonzero(paths.any(1)):
+            text, start, end, _ = some[k]
+            found[text].extend(own_spans(paths[k], start, end, len(texts[text])))
+        some.clear()
 
     for k, text in enumerate(texts):
-        here = {m.start() // STRIDE for m in EVIDENCE.finditer(text)}
-        if not here:
-            continue
         ids = char_ids(text)
-        for w in sorted({max(b - 1, 0) for b in here} | here):
-            row = np.zeros(WINDOW, np.int64)
-            part = ids[w * STRIDE:w * STRIDE + WINDOW]
-            row[:len(part)] = part
-            owners.append(k)
-            starts.append(w * STRIDE)
-            rows.append(row)
-            if len(rows) == CHUNK:
-                flush()
-    flush()
+        for start, end in windows(len(ids)):
+            length = next(n for n in LENGTHS if end - start <= n)
+            waiting[length].append((k, start, end, ids[start:end]))
+            if len(waiting[length]) == CHUNK:
+                flush(length)
+    for length in LENGTHS:
+        flush(length)
     out = []
     for text, spans in zip(texts, found, strict=True):
-        trimmed = []
-        for kind, s, e in spans:
-            e = min(e, len(text))
-            while s < e and text[s] in " \n\t,;:":
-                s += 1
-            while e > s and text[e - 1] in " \n\t,;:.":
-                e -= 1
-            if s < e:
-                trimmed.append((kind, s, e))
-        out.append(reconcile(trimmed, lambda k, s, e, text=text: bool(EVIDENCE.search(text, s, e)) and plausible(k, text[s:e])))
+        bare = [(kind, s, e) for kind, s, e in ((kind, *_trimmed(text, s, e)) for kind, s, e in spans) if s < e]
+        out.append(reconcile(bare, lambda k, s, e, text=text: plausible(k, text[s:e])))
     return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
-    order = KINDS + [f"{k}_like" for k in KINDS]
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order.index(x[0]), x[1])))
+    order = {k: n for n, k in enumerate(KINDS + [f"{k}_like" for k in KINDS])}
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order[x[0]], x[1])))
 
 
 def _finder(model: Tagger):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for part in text_parts(batches, limit=PART_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             base_hash, spans = [], []
             for text, extra in zip(texts, tagged(texts, model), strict=True):
                 base = base_spans(text)
                 flat = [(k, s, e) for k in KINDS for s, e in base[k]]
-                more = [(f"{k}_like", s, e) for k, s, e in extra if all(e <= s2 or s >= e2 for _, s2, e2 in flat)]
+                free = Free([(s, e) for _, s, e in flat])
+                more = [(f"{k}_like", s, e) for k, s, e in extra if free.has(s, e)]
                 for k in KINDS:
                     counts[k].append(len(base[k]))
                 base_hash.append(hashlib.sha256(joined(flat).encode()).hexdigest())
                 spans.append(joined(flat + more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base_hash, pa.string()), pa.array(spans, pa.string())],
+                [part.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base_hash, pa.string()), pa.array(spans, pa.string())],
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
     return find
 
