@@ -9,14 +9,16 @@ from spindrift.functions.text import let, token_estimate
 from spindrift.operators.chunking import ChunkConfig, chunk_by_model, chunk_fixed, chunk_neural
 from spindrift.sources.tables import table
 
+#: No truncation: only ``chunk_fixed_max_chunks`` is about it.
+ALL = 2**31 - 1
 CONFIGS = {
-    "chunk_fixed_len4": ChunkConfig(),
-    "chunk_fixed_newline_sep": ChunkConfig(target_tokens=120, overlap_tokens=10, separator="\n"),
-    "chunk_fixed_no_overlap": ChunkConfig(target_tokens=80, overlap_tokens=0),
+    "chunk_fixed_len4": ChunkConfig(max_chunks=ALL),
+    "chunk_fixed_newline_sep": ChunkConfig(target_tokens=120, overlap_tokens=10, separator="\n", max_chunks=ALL),
+    "chunk_fixed_no_overlap": ChunkConfig(target_tokens=80, overlap_tokens=0, max_chunks=ALL),
     "chunk_fixed_max_chunks": ChunkConfig(target_tokens=60, overlap_tokens=5, max_chunks=3),
-    "chunk_sentence_fallback": ChunkConfig(target_tokens=40, overlap_tokens=4, separator="; "),
+    "chunk_sentence_fallback": ChunkConfig(target_tokens=40, overlap_tokens=4, separator="; ", max_chunks=ALL),
 }
-NEURAL = {"chunk_neural_cut": ChunkConfig(target_tokens=0, threshold=0.4), "chunk_neural_aggregate": ChunkConfig(target_tokens=100, threshold=0.4, max_chunks=20)}
+NEURAL = {"chunk_neural_cut": ChunkConfig(target_tokens=0, threshold=0.4, max_chunks=ALL), "chunk_neural_aggregate": ChunkConfig(target_tokens=100, threshold=0.4, max_chunks=ALL)}
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
@@ -39,14 +41,14 @@ def _neural(name: str):
 def chunk_model_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = spark.sql("SELECT * FROM VALUES ('mini-boundary') AS t(name)")
     asked = with_entities(table(spark, sf_dir, "documents")).withColumn("model", F.expr("CASE doc_id % 4 WHEN 0 THEN 'mini-boundary' WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed-bpe-tokenizer' ELSE 'missing-model' END"))
-    out = chunk_by_model(asked, models, ChunkConfig(target_tokens=100, threshold=0.4))
+    out = chunk_by_model(asked, models, _DISPATCH)
     return out.groupBy("requested_model", "model_used").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def chunk_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: chunks per language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    chunks = chunk_fixed(docs.withColumn("_k", F.struct("doc_id", "lang")), ChunkConfig(), id_col="_k")
+    chunks = chunk_fixed(docs.withColumn("_k", F.struct("doc_id", "lang")), ChunkConfig(max_chunks=ALL), id_col="_k")
     return chunks.groupBy(F.col("_k.lang").alias("lang")).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("_k.doc_id").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("chunk_id").cast("int").alias("max_chunk_id"))
 
@@ -128,10 +130,10 @@ def neural_sql(c: ChunkConfig) -> str:
         chunks AS (SELECT k, (CASE WHEN len(pieces) > 1 THEN {join if c.target_tokens > 0 else 'pieces'} ELSE pieces END)[1:{c.max_chunks}] AS out FROM w)"""
 
 
-_DISPATCH = ChunkConfig(target_tokens=100, threshold=0.4)
+_DISPATCH = ChunkConfig(target_tokens=100, threshold=0.4, max_chunks=ALL)
 ORACLE_SQL = {n: _rows(fixed_sql(c)) for n, c in CONFIGS.items()} | {n: _rows(neural_sql(c)) for n, c in NEURAL.items()} | {
     "token_estimate": "SELECT doc_id, (strlen(text) // 4)::BIGINT AS n_tokens FROM documents",
-    "chunk_stats_by_lang": fixed_sql(ChunkConfig(), key="{'d': doc_id, 'l': lang}") + _ROWS + """
+    "chunk_stats_by_lang": fixed_sql(ChunkConfig(max_chunks=ALL), key="{'d': doc_id, 'l': lang}") + _ROWS + """
         SELECT k.l AS lang, count(*) AS n_chunks, count(DISTINCT k.d) AS n_docs, sum(length(out[i].text) // 8)::BIGINT AS n_tokens, (max(i) - 1)::INT AS max_chunk_id FROM numbered GROUP BY 1""",
     "chunk_model_dispatch": "WITH f AS (" + fixed_sql(_DISPATCH) + " SELECT k, out FROM chunks), g AS (" + neural_sql(_DISPATCH) + """ SELECT k, out FROM chunks),
         u AS (SELECT CASE k % 4 WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed-bpe-tokenizer' ELSE 'missing-model' END AS requested_model,

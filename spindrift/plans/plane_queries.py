@@ -60,7 +60,7 @@ def preload_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     udtf.register(spark)
     docs = table(spark, sf_dir, "documents")
-    return spark.sql("SELECT d.doc_id, c.chunk_id, c.start_char, c.end_char FROM {docs} d, LATERAL chunk_text(d.text, 120, 10, chr(10)) c WHERE c.chunk_id < 50", docs=docs)
+    return spark.sql("SELECT d.doc_id, c.chunk_id, c.start_char, c.end_char FROM {docs} d, LATERAL chunk_text(d.text, 120, 10, chr(10)) c", docs=docs)
 
 
 QUERIES = {n.__name__: n for n in (route_source, route_source_destinations, endpoint_source, metrics_exposition, version, remote_list, preload_outcome, chunk_udtf)}

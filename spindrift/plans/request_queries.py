@@ -125,7 +125,7 @@ def route_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     refs = F.transform(F.sequence(F.lit(1).cast("long"), F.col("o_orderkey") % 3 + 1), lambda k: F.concat(F.lit("p"), (F.col("o_custkey") * k % 97)))
     routes = o.select(F.col("o_orderkey").alias("route"), F.concat(F.lit("ns"), F.col("o_custkey") % 4).alias("namespace"), refs.alias("pools"))
-    pools = table(spark, sf_dir, "customer").where("c_custkey < 90").select(F.concat(F.lit("ns"), F.col("c_custkey") % 4).alias("namespace"), F.concat(F.lit("p"), F.col("c_custkey")).alias("name"))
+    pools = table(spark, sf_dir, "customer").select(F.concat(F.lit("ns"), F.col("c_custkey") % 4).alias("namespace"), F.concat(F.lit("p"), F.col("c_custkey")).alias("name"))
     return G.active_routes(routes, pools)
 
 
@@ -138,7 +138,7 @@ def tpu_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preload_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "part").where("p_partkey % 20 = 1").selectExpr("concat('pool', p_size % 5) AS pool", "concat('m', p_partkey) AS name", "CASE p_partkey % 3 WHEN 0 THEN 'i8' WHEN 1 THEN '' ELSE NULL END AS variant")
+    m = table(spark, sf_dir, "part").selectExpr("concat('pool', p_size % 5) AS pool", "concat('m', p_partkey) AS name", "CASE p_partkey % 3 WHEN 0 THEN 'i8' WHEN 1 THEN '' ELSE NULL END AS variant")
     return G.preload_groups(m)
 
 
@@ -181,11 +181,11 @@ ORACLE_SQL = {
     "multimodal_models": f"WITH {_FILES} SELECT model FROM f WHERE file IN ('visual_model.onnx', 'text_model.onnx') GROUP BY 1 HAVING count(DISTINCT file) = 2",
     "description_ellipsis": "SELECT p_partkey, CASE WHEN strlen(t) > 30 THEN t[1:27] || '...' ELSE t END AS shown FROM (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type, p_name) AS t FROM part)",
     "route_active": """WITH r AS (SELECT o_orderkey AS route, 'ns' || o_custkey % 4 AS namespace, o_custkey, unnest(generate_series(1, o_orderkey % 3 + 1)) AS k FROM orders),
-        p AS (SELECT DISTINCT 'ns' || c_custkey % 4 AS namespace, 'p' || c_custkey AS name FROM customer WHERE c_custkey < 90)
+        p AS (SELECT DISTINCT 'ns' || c_custkey % 4 AS namespace, 'p' || c_custkey AS name FROM customer)
         SELECT r.namespace, r.route, bool_and(p.name IS NOT NULL) AS active FROM r LEFT JOIN p ON p.namespace = r.namespace AND p.name = 'p' || (r.o_custkey * r.k % 97) GROUP BY 1, 2""",
     "pool_phase": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'Pending' WHEN p_partkey % 4 = p_size % 4 THEN 'Running' WHEN p_partkey % 4 > 0 THEN 'Scaling' ELSE 'Pending' END AS phase FROM part",
     "tpu_count": "SELECT topology, chips::INT AS chips FROM (VALUES ('2x4', 8), ('', 4), ('1x1x1', 4), ('axb', 4), ('16x16', 256), ('4', 4)) AS t(topology, chips)",
-    "preload_groups": """WITH m AS (SELECT 'pool' || p_size % 5 AS pool, 'm' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'i8' ELSE 'f32' END AS variant FROM part WHERE p_partkey % 20 = 1),
+    "preload_groups": """WITH m AS (SELECT 'pool' || p_size % 5 AS pool, 'm' || p_partkey AS name, CASE p_partkey % 3 WHEN 0 THEN 'i8' ELSE 'f32' END AS variant FROM part),
         g AS (SELECT pool, variant, string_agg(name, ' ' ORDER BY name) AS names FROM m GROUP BY 1, 2) SELECT pool, string_agg('pull --variants ' || variant || ' ' || names, ' && ' ORDER BY variant) AS command FROM g GROUP BY 1""",
     "content_policy": "SELECT * FROM " + values([
         ("data:text/plain;base64,aGVsbG8=", "", "text/plain", "hello"), ("data:,a%20b", "", "text/plain", "a b"), ("https://example.org/a.png", "", "", ""), ("http://10.1.2.3/x", "private address", "", ""), ("http://localhost/x", "private address", "", ""),

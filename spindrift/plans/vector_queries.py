@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.functions import clip
 from spindrift.functions.models import BpeCounter, HashEmbedder, count_udf
@@ -27,10 +28,12 @@ def vec_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a prompt of the benchmark item whose number it falls on."""
+    """Every document as a prompt of a benchmark item; documents are dealt over all items in the order of their ids."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    asked = docs.select((F.col("doc_id") % 40).alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("prompt"), "n_chars")
-    return rerank(asked.join(items.select(F.col("item_id").alias("request_id"), F.col("text").alias("query")), "request_id"))
+    ranked = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("request_id"), F.col("text").alias("query"))
+    dealt = F.pmod(F.col("doc_id"), F.lit(max(items.count(), 1)).cast("long"))
+    asked = docs.select(dealt.alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("prompt"), "n_chars")
+    return rerank(asked.join(ranked, "request_id"))
 
 
 def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +95,8 @@ QUERIES = {
     "bpe_token_count": bpe_token_count, "quantized_first": quantized_first}
 
 _PAIRS = r"""
-    WITH d AS (SELECT doc_id % 40 AS request_id, doc_id AS pos, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS pw FROM documents),
-    q AS (SELECT item_id AS request_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS qw FROM benchmark),
+    WITH d AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS request_id, doc_id AS pos, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS pw FROM documents),
+    q AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS request_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS qw FROM benchmark),
     p AS (SELECT request_id, pos, n_chars, CASE WHEN len(qw) = 0 THEN 0.0 ELSE len(list_intersect(qw, pw)) / len(qw) END::FLOAT AS score FROM d JOIN q USING (request_id))"""
 ORACLE_SQL = {
     "vec_l2_normalize": """
