@@ -3,8 +3,8 @@
 A page's lines come from its markup by fixed rules: comments, scripts and styles
 go, block tags break lines, other tags go, white space collapses, blank lines go.
 For every host, the number of pages that contain a line is divided by the host's
-pages; lines above ``ratio`` are boilerplate there and are dropped from all its
-pages. Hosts with fewer than ``least_pages`` pages keep every line.
+pages; lines above ``ratio`` that at least two pages contain are boilerplate there
+and are dropped from all its pages, on a host of any size.
 
 Everything is a JVM expression. Lines travel as 128-bit digests, once per page,
 and are counted with map-side combine. A host has at most (mean lines per page) /
@@ -38,14 +38,14 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3, least_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.3) -> DataFrame:
     """Per page: page_id, host, n_lines, n_dropped, text (the lines that stay)."""
     # the lines are parsed once and written; they are needed twice
     rows = materialize(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines")), "lines")
-    totals = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "hosts")
+    totals = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))).alias("line"))
     counted = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    common = counted.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
+    common = counted.join(totals, "host").where((F.col("n") >= 2) & (F.col("n") > F.col("pages") * ratio))
     lists = materialize(common.groupBy("host").agg(F.collect_list("line").alias("boilerplate")), "boilerplate")
     judged = rows.join(lists, "host", "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", F.unhex(F.md5(x)))))

@@ -139,9 +139,9 @@ ORACLE_SQL: dict[str, str] = {
                 regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'),
                 '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), 'BLOCK', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t\r\f]+', ' ', 'g') AS text FROM pages),
         p AS (SELECT page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM t),
-        h AS (SELECT host, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 5),
+        h AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
         e AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p),
-        b AS (SELECT e.host, list(e.line) AS drop FROM (SELECT host, line, count(*) AS n FROM e GROUP BY 1, 2) e JOIN h USING (host) WHERE e.n > h.pages * 0.3 GROUP BY 1),
+        b AS (SELECT e.host, list(e.line) AS drop FROM (SELECT host, line, count(*) AS n FROM e GROUP BY 1, 2) e JOIN h USING (host) WHERE e.n >= 2 AND e.n > h.pages * 0.3 GROUP BY 1),
         k AS (SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT coalesce(list_contains(b.drop, x), false)) AS kept FROM p LEFT JOIN b USING (host))
         SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k""".replace("BLOCK", BLOCK_TAG),
 }

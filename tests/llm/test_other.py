@@ -223,7 +223,19 @@ def test_line_dedup_equals_brute_force(spark):
         if r.host == "big.example.com":
             assert r.text.split("\n") == [f"page {r.page_id}"] + (["rare"] if r.page_id < 4 else []) and r.n_dropped == 2
         elif r.host == "tiny.org":
-            assert (r.n_lines, r.n_dropped) == (2, 0)
+            assert (r.n_lines, r.n_dropped) == (2, 2)  # three pages, both lines on each
         else:
             assert r.n_dropped == 0
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_more_dimensions_than_sample_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(60, 400))
+    rows[30:] = rows[:30] + rng.normal(size=(30, 400)) * np.linspace(0, 0.4, 30)[:, None]
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.98}
+    axes = embedding_dedup.principal_axes(rows[:20])
+    assert axes.shape == (400, 20) and np.allclose(axes.T @ axes, np.eye(20))
+    x, y = embedding_dedup.linked_pairs(rows, rows, axes, 0.98, True)
+    assert {(int(i), int(j)) for i, j in zip(x, y)} == want and want
