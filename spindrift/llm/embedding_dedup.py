@@ -40,7 +40,9 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def principal_axes(rows: np.ndarray) -> np.ndarray:
-    """Orthonormal axes as columns, by falling second moment."""
+    """Orthonormal axes as columns, by falling second moment; with more dimensions than rows, those that the rows span."""
+    if rows.shape[1] > len(rows):
+        return np.ascontiguousarray(np.linalg.svd(rows, full_matrices=False)[2].T)
     _, axes = np.linalg.eigh(rows.T @ rows)
     return np.ascontiguousarray(axes[:, ::-1])
 
@@ -49,14 +51,15 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
     """Index pairs of rows whose cosine reaches the threshold; with ``same``, each pair once."""
     ua, ub = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
     ra, rb = ua @ axes, ub @ axes
-    dim = a.shape[1]
+    dim = axes.shape[1]
     cuts = [c for c in (8, 16, 32) if c < dim] + [dim]
-    tails_a, tails_b = (np.sqrt(np.cumsum((r * r)[:, ::-1], axis=1)[:, ::-1]) for r in (ra, rb))
+    # the norm of what lies behind the first c axes, also what no axis covers; a little more than rounding can take away
+    tails_a, tails_b = (np.sqrt(np.maximum(1 - np.pad(np.cumsum(r * r, axis=1), ((0, 0), (1, 0))), 0) + 1e-12) for r in (ra, rb))
     lead = cuts[0]
     x, y = [], []
     for s in range(0, len(ra), 512):  # 512 rows at a time bound the work arrays
         dot = ra[s:s + 512, :lead] @ rb[:, :lead].T
-        rest = tails_a[s:s + 512, lead][:, None] * tails_b[:, lead][None, :] if lead < dim else 0.0
+        rest = tails_a[s:s + 512, lead][:, None] * tails_b[:, lead][None, :]
         i, j = np.nonzero(dot + rest >= threshold - SLACK)
         if same:
             i, j = i[i + s < j], j[i + s < j]
@@ -64,7 +67,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
         i = i + s
         for lo, hi in zip(cuts, cuts[1:]):
             value = value + np.einsum("ij,ij->i", ra[i, lo:hi], rb[j, lo:hi])
-            keep = value + (tails_a[i, hi] * tails_b[j, hi] if hi < dim else 0.0) >= threshold - SLACK
+            keep = value + tails_a[i, hi] * tails_b[j, hi] >= threshold - SLACK
             i, j, value = i[keep], j[keep], value[keep]
         exact = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a[i], axis=1) * np.linalg.norm(b[j], axis=1))
         x.append(i[exact >= threshold])
@@ -116,7 +119,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     axes: dict[int, list] = {}
     for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("vector").collect():
         axes.setdefault(len(r[0]), []).append(r[0])
-    axes = {d: principal_axes(np.array(v)) for d, v in axes.items() if d <= 4096}
+    axes = {d: principal_axes(np.array(v)) for d, v in axes.items()}
     sizes = materialize(reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("tiles")), "tiles")
     tiled = reps.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     met = (tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))

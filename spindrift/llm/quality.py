@@ -7,9 +7,9 @@ text and at its extreme blocks, together with the compressed rate, goes through
 calibrated logistic model.
 
 The fit uses at most ``dictionary_rows`` and ``calibration_rows`` labelled texts
-per class, chosen by a hash of the id (documented bounds), and of each dictionary
-text a slice of at most ``slice_chars`` characters. Rows with crc32(id) mod 4 = 2
-are never used. Class weights restore the labelled prior. Scoring covers every
+per class, chosen by a hash of the id (documented bounds); their texts count whole,
+and the dictionaries are trained on the same blocks that scoring compresses. Rows
+with crc32(id) mod 4 = 2 are never used. An id with both labels counts as bad. Class weights restore the labelled prior. Scoring covers every
 row and its whole text; labels, language, source and id are no inputs.
 
 Nulls and edge cases: a null text scores as the empty text. Labels with a null id
@@ -60,6 +60,11 @@ class QualityModel:
         return lambda texts: _probability(_design(np.array([measure(t) for t in texts]).reshape(-1, FEATURES), self.mean, self.scale), self.weights)
 
 
+def blocks_of(text: str | None, block: int) -> list[bytes]:
+    raw = (text or "").encode()
+    return [raw[k:k + block] for k in range(0, len(raw), block)] or [b""]
+
+
 def measurer(good: bytes, bad: bytes, block: int):
     """A function from a text to its compression features."""
     def compressor(raw: bytes):
@@ -70,12 +75,11 @@ def measurer(good: bytes, bad: bytes, block: int):
     by_good, by_bad = compressor(good), compressor(bad)
 
     def measure(text: str | None) -> list[float]:
-        raw = (text or "").encode()
-        blocks = [raw[k:k + block] for k in range(0, len(raw), block)] or [b""]
+        blocks = blocks_of(text, block)
         g = np.array([len(by_good(b)) for b in blocks], dtype=np.float64)
         c = np.array([len(by_bad(b)) for b in blocks], dtype=np.float64)
         size = np.array([max(len(b), 1) for b in blocks], dtype=np.float64)
-        lean, n = (c - g) / (c + g), max(len(raw), 1)
+        lean, n = (c - g) / (c + g), max(sum(map(len, blocks)), 1)
         return [(c.sum() - g.sum()) / (c.sum() + g.sum()), lean.min(), lean.max(), g.sum() / n, (g / size).min(), np.log(n) / 10, size[lean < 0].sum() / n]
     return measure
 
@@ -111,8 +115,8 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                dictionary_rows: int = 1000, calibration_rows: int = 2000, slice_chars: int = 8192, dictionary_bytes: int = 112640, block: int = 1024) -> QualityModel:
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+                dictionary_rows: int = 1000, calibration_rows: int = 2000, dictionary_bytes: int = 112640, block: int = 1024) -> QualityModel:
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     constant = QualityModel(b"", b"", block, None, None, None, (counts.get(1, 0) + 1) / (total + 2))
@@ -136,9 +140,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         two = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         return two.join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi")
 
-    start = F.expr(f"1 + pmod(xxhash64(id), greatest(1, char_length(text) - {slice_chars} + 1))").cast("int")
-    slices = texts_of(list(for_dictionary)).select("id", F.substring(F.col("text"), start, F.lit(slice_chars)).alias("part")).orderBy("id", "part").collect()
-    samples = {y: [r["part"].encode() for r in slices if for_dictionary[r["id"]] == y] for y in (0, 1)}
+    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in texts_of(list(for_dictionary)).orderBy("id", "text").toLocalIterator():
+        samples[for_dictionary[r["id"]]] += blocks_of(r["text"], block)
     good, bad = _dictionary(samples[1], dictionary_bytes), _dictionary(samples[0], dictionary_bytes)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
