@@ -82,9 +82,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_scan import fit_forest, labelled_findings, scan_secrets
+    from .secret_scan import WORDS, corpus_words, fit_forest, labelled_findings, scan_secrets
 
-    return scan_secrets(table(spark, sf_dir, "documents"), fit_forest(labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = WORDS + corpus_words(docs)
+    return scan_secrets(docs, fit_forest(labelled_findings(spark), words=words), words=words)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ values end at white space, without closing quotes and ``,;.``). They may overlap
 spans count once. Each has the 48 characters before and the 24 after it. Every
 candidate gets features from SQL functions: length, shares of character classes,
 class transitions, distinct characters, hexadecimal and UUID form, known key
-prefixes, the share covered by dictionary words, path form, and the neighbouring
+prefixes, the share covered by dictionary words (a list and the frequent words of
+the corpus, of which a bounded number reaches the driver), path form, and the neighbouring
 words. A random forest decides. It is trained on the driver from labelled
 findings (a bounded table, by default ``labelled_findings``) whose features come
 from the same expressions, and is compiled to CASE expressions, so scoring needs
@@ -24,6 +25,8 @@ candidate that class.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ PATH_BEFORE = r"(https?://|/|\\|\.)[^\s\"']{0,40}$"
 KEY_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk-|sk_live_|pk_live_|rk_live_|AIza|ya29|eyJ|npm_|dop_v1_|SG)"
 PREFIXED = "(?<![A-Za-z0-9])" + KEY_PREFIX[1:] + r"[A-Za-z0-9+/_.\-]+={0,2}"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-#: Words of prose and of program names; a key hardly ever holds several of them.
+#: Words of prose and of program names; a key hardly ever holds several of them. The frequent words of the corpus come on top.
 WORDS = ("the and for that with this from have not are was tion ing ment able ness ally ible ent ous ive ure age ate "
          "get set user name data file path list item test time date page view main index image style script content config "
          "default value type class function return string number object array event handler request response service server client "
@@ -51,12 +54,19 @@ WORDS = ("the and for that with this from have not are was tion ing ment able ne
 NAMES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "hex", "uuid", "prefixed", "covered", "slashes", "secret_word", "hash_word", "assigned", "quoted", "path_before"]
 
 
-def features(value: Column, before: Column, after: Column) -> list[Column]:
+def corpus_words(docs: DataFrame, *, text_col: str = "text", most: int = 500) -> list[str]:
+    """The ``most`` most frequent words of four to twelve letters over all texts (ties: in alphabetical order), counted with map-side combine."""
+    each = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+")).alias("word")).where("length(word) BETWEEN 4 AND 12")
+    top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
+    return [r["word"] for r in top.collect()]
+
+
+def features(value: Column, before: Column, after: Column, words: Sequence[str] = WORDS) -> list[Column]:
     n = F.char_length(value).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     flag = lambda text, pattern: F.when(text.rlike(pattern), 1.0).otherwise(0.0)
     steps = F.regexp_count(value, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]"))
-    plain = F.regexp_replace(F.lower(value), "|".join(sorted(WORDS, key=len, reverse=True)), "")
+    plain = F.regexp_replace(F.lower(value), "|".join(sorted(set(words), key=lambda w: (-len(w), w))), "")
     columns = [
         n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^A-Za-z0-9]"), steps / n,
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)), flag(value, "^([0-9a-f]+|[0-9A-F]+)$"), flag(value, UUID),
@@ -174,10 +184,10 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
     return f, cut, _grow(x[low], y[low], rng, depth - 1, least), _grow(x[~low], y[~low], rng, depth - 1, least)
 
 
-def fit_forest(findings: DataFrame, *, trees: int = 15, depth: int = 6, least: int = 8, seed: int = 5, most_rows: int = 20_000) -> list:
+def fit_forest(findings: DataFrame, *, trees: int = 15, depth: int = 6, least: int = 8, seed: int = 5, most_rows: int = 20_000, words: Sequence[str] = WORDS) -> list:
     """The trees; at most ``most_rows`` labelled findings, those with the least hash, are used."""
     chosen = findings.orderBy(F.xxhash64("value", "before", "after"), "value").limit(most_rows)
-    got = chosen.select(F.col("label").cast("double"), *features(F.col("value"), F.col("before"), F.col("after"))).collect()
+    got = chosen.select(F.col("label").cast("double"), *features(F.col("value"), F.col("before"), F.col("after"), words)).collect()
     if not got:
         return [0.0]
     data = np.array([tuple(r) for r in got], dtype=np.float64)
@@ -200,10 +210,10 @@ def forest_score(forest: list) -> Column:
     return F.expr("(" + " + ".join(map(sql, forest)) + f") / {len(forest)}D")
 
 
-def scan_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: list, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, words: Sequence[str] = WORDS) -> DataFrame:
     """Per candidate: doc_id, start_char, end_char, value_sha256, score, is_secret."""
     found = candidates(docs, id_col, text_col)
-    measured = found.select("doc_id", "start", "value", *features(F.col("value"), F.col("before"), F.col("after")))
+    measured = found.select("doc_id", "start", "value", *features(F.col("value"), F.col("before"), F.col("after"), words))
     return measured.select(
         "doc_id", F.col("start").alias("start_char"), (F.col("start") + F.char_length("value")).alias("end_char"),
         F.sha2("value", 256).alias("value_sha256"), F.round(forest_score(forest), 9).alias("score")).withColumn("is_secret", F.col("score") >= threshold)

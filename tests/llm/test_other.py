@@ -239,3 +239,36 @@ def test_more_dimensions_than_sample_rows():
     assert axes.shape == (400, 20) and np.allclose(axes.T @ axes, np.eye(20))
     x, y = embedding_dedup.linked_pairs(rows, rows, axes, 0.98, True)
     assert {(int(i), int(j)) for i, j in zip(x, y)} == want and want
+
+
+def test_forest_on_findings_that_it_has_not_seen(spark):
+    found = secret_scan.labelled_findings(spark, 6000).withColumn("fold", F.pmod(F.xxhash64("value", "before"), F.lit(3)))
+    forest = secret_scan.fit_forest(found.where("fold > 0").drop("fold"))
+    held = found.where("fold = 0").select("label", *secret_scan.features(F.col("value"), F.col("before"), F.col("after")))
+    rows = held.withColumn("s", secret_scan.forest_score(forest)).collect()
+    hit = sum(r.s >= 0.5 and r.label == 1 for r in rows)
+    assert hit / sum(r.s >= 0.5 for r in rows) > 0.95 and hit / sum(r.label for r in rows) > 0.95
+
+    def walk(node, row):
+        while not isinstance(node, float):
+            name, cut, left, right = node
+            node = left if row[secret_scan.NAMES[name]] <= cut else right
+        return node
+
+    for r in rows[:400]:
+        assert abs(r.s - sum(walk(t, r) for t in forest) / len(forest)) < 1e-12
+
+
+def test_secrets_in_a_text_of_very_many_matches(spark):
+    parts = [f"{'x' * (k % 5)} {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(20_000)]
+    text = "é".join(parts)
+    got = secret_scan.candidates(spark.createDataFrame([(1, text)], "i long, t string"), "i", "t").select("start", "value").collect()
+    assert sorted((r.start, r.value) for r in got) == [(m.start(), m[0]) for m in re.finditer(secret_scan.CANDIDATE, text)]
+
+
+def test_corpus_words(spark, awkward, nothing):
+    import collections
+
+    want = collections.Counter(w for _, t, *_ in awkward_rows() for w in re.split("[^a-z]+", (t or "").lower()) if 4 <= len(w) <= 12)
+    assert secret_scan.corpus_words(awkward, most=7) == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:7]]
+    assert secret_scan.corpus_words(nothing) == []
