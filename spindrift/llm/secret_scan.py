@@ -25,12 +25,16 @@ candidate that class.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import materialize
+
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 BEFORE, AFTER = 48, 24
 SECRET = r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signature|session)[\w.-]{0,16}[\"']?"
@@ -43,6 +47,9 @@ ASSIGNED = r"[=:]\s{0,3}[\"'`]?$"
 QUOTED = r"[\"'`]$"
 PATH_BEFORE = r"(https?://|/|\\|\.)[^\s\"']{0,40}$"
 KEY_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk-|sk_live_|pk_live_|rk_live_|AIza|ya29|eyJ|npm_|dop_v1_|SG)"
+#: What every lead, in lower case, and every known prefix holds one of.
+LEAD_WORDS = "secret token passw pwd key auth bearer credential signature session".split()
+PREFIX_WORDS = "AKIA ASIA ghp_ gho_ ghs_ glpat- xox sk- sk_live_ pk_live_ rk_live_ AIza ya29 eyJ npm_ dop_v1_ SG".split()
 PREFIXED = "(?<![A-Za-z0-9])" + KEY_PREFIX[1:] + r"[A-Za-z0-9+/_.\-]+={0,2}"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Words of prose and of program names; a key hardly ever holds several of them. The frequent words of the corpus come on top.
@@ -101,10 +108,17 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, start, value, before, after — one row per candidate."""
     text = F.col("_text")
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = found.where(text.rlike(CANDIDATE) | text.rlike(LEAD) | text.rlike(PREFIXED))
+    # plain containment is much cheaper than the patterns, and no lead or prefixed token is without one of these words
+    low = F.lower(text)
+    may_lead = functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in LEAD_WORDS])
+    may_prefix = functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in PREFIX_WORDS])
+    found = found.withColumn("_lead", may_lead & text.rlike(LEAD)).withColumn("_prefix", may_prefix & text.rlike(PREFIXED))
+    found = found.where(F.col("_lead") | F.col("_prefix") | text.rlike(CANDIDATE))
+    none = F.array().cast("array<struct<start:int,value:string>>")
     runs = F.filter(_matches(text, CANDIDATE), lambda c: c["value"].rlike("[0-9]") | c["value"].rlike("[a-z][A-Z]"))
     prefixed = F.transform(_matches(text, PREFIXED), lambda c: F.struct(c["start"].alias("start"), F.regexp_replace(c["value"], "[.]+$", "").alias("value")))
     led = F.filter(F.transform(_matches(text, LEAD), lambda c: _led(text, c)), lambda c: c["value"] != "")
+    prefixed, led = F.when(F.col("_prefix"), prefixed).otherwise(none), F.when(F.col("_lead"), led).otherwise(none)
     spans = found.select("doc_id", "_text", F.explode(F.array_distinct(F.concat(runs, prefixed, led))).alias("_span"))
     start, value = F.col("_span.start"), F.col("_span.value")
     return spans.select(
@@ -156,7 +170,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     after = F.when(before.rlike(QUOTED), F.concat(F.right(before, F.lit(1)), F.lit(" "))).otherwise(pick(" ", "\n", ""))
     written = base.select(F.concat(lead, before).alias("left"), value.alias("value"), after.alias("after"), label.alias("label")).select(
         F.struct(F.char_length("left").alias("at"), "value", "label").alias("made"), F.concat("left", "value", "after").alias("text"))
-    read = candidates(written, "made", "text")
+    read = candidates(materialize(written, "findings"), "made", "text")  # written, so that the texts' expressions are not repeated
     return read.where((F.col("start") == F.col("doc_id.at")) & (F.col("value") == F.col("doc_id.value"))).select("value", "before", "after", F.col("doc_id.label").alias("label"))
 
 
