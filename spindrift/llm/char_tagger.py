@@ -72,35 +72,42 @@ class Tagger:
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Tag scores of windows (B, T): T, tags, B.
 
-        Gates stand one below the other, so every gate of a step is one contiguous block.
+        Both directions advance in one step. A step's input (last state, embedded character, 1) is one block, so the
+        gates are one product; they stand one below the other, each a contiguous block. A gate is (1 + q) / 2 with q its
+        squashed sum: the halves of the states are moved into the weights, those of the cells are taken once a step.
         """
-        hidden, (size, steps) = self.p["whf"].shape[0], ids.shape
-        at_step = np.ascontiguousarray(ids.T)
-        out = np.empty((steps, len(self.p["bo"]), size), np.float32)
-        out[:] = self.p["bo"][:, None]
-        for d, rows in (("f", slice(0, hidden)), ("b", slice(hidden, None))):
-            table = (self.p["emb"] @ self.p[f"wx{d}"] + self.p[f"b{d}"]).astype(np.float32)
-            wh, wo = np.ascontiguousarray(self.p[f"wh{d}"].T), np.ascontiguousarray(self.p["wo"][rows].T)
-            h, c = np.zeros((hidden, size), np.float32), np.zeros((hidden, size), np.float32)
-            g, read, work = np.empty((4 * hidden, size), np.float32), np.empty((size, 4 * hidden), np.float32), np.empty((4 * hidden, size), np.float32)
-            i, f, o, u = (g[k * hidden:(k + 1) * hidden] for k in range(4))
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(table, at_step[t], axis=0, out=read, mode="clip")
-                np.matmul(wh, h, out=g)
-                g += read.T
-                np.abs(g, out=work)
-                work += 1
-                g /= work
-                g[:3 * hidden] *= 0.5
-                g[:3 * hidden] += 0.5
-                c *= f
-                i *= u
-                c += i
-                np.abs(c, out=h)
-                h += 1
-                np.divide(c, h, out=h)
-                h *= o
-                out[t] += wo @ h
+        p, (size, steps) = self.p, ids.shape
+        hidden, embed = p["whf"].shape[0], p["emb"].shape[1]
+        weights = np.stack([np.concatenate([0.5 * p[f"wh{d}"], p[f"wx{d}"], p[f"b{d}"][None]]).T for d in "fb"]).astype(np.float32)
+        heads = [np.ascontiguousarray(0.5 * p["wo"][k * hidden:(k + 1) * hidden].T) for k in range(2)]
+        seen = np.ascontiguousarray(p["emb"].astype(np.float32)[ids.T].transpose(0, 2, 1))  # T, embed, B
+        out = np.empty((steps, len(p["bo"]), size), np.float32)
+        out[:] = p["bo"][:, None]
+        given = np.zeros((2, hidden + embed + 1, size), np.float32)
+        given[:, -1] = 1
+        h, x = given[:, :hidden], given[:, hidden:-1]
+        c, work = np.zeros((2, hidden, size), np.float32), np.empty((2, 4 * hidden, size), np.float32)
+        g = np.empty_like(work)
+        i, f, o, u = (g[:, k * hidden:(k + 1) * hidden] for k in range(4))
+        for t in range(steps):
+            x[0], x[1] = seen[t], seen[steps - 1 - t]
+            np.matmul(weights, given, out=g)
+            np.abs(g, out=work)
+            work += 1
+            g /= work
+            f *= c
+            c += f
+            i *= u
+            c += i
+            c += u
+            c *= 0.5
+            np.abs(c, out=h)
+            h += 1
+            np.divide(c, h, out=h)
+            o *= h
+            h += o
+            out[t] += heads[0] @ h[0]
+            out[steps - 1 - t] += heads[1] @ h[1]
         return out
 
     def _plain(self, e: np.ndarray) -> np.ndarray:
@@ -115,35 +122,31 @@ class Tagger:
         return ((e[:, 1:].max(1) - e[:, 0]).max(0) < -max(way_in + way_out, trans[1:, 1:].max(), 0.0) - 1e-3)
 
     def decode(self, ids: np.ndarray, skip_plain: bool = True) -> np.ndarray:
-        """The best tag path of every window: B, T. Windows that are plain for certain need no search."""
+        """The best tag path of every window: B, T.
+
+        The search keeps the best scores and no back pointers: the way back takes the best predecessor of the one tag
+        that the path has. Windows that are plain for certain need no search, those whose best score is the plain
+        path's no way back.
+        """
         e, trans = self.emissions(ids), self.p["trans"]
         path = np.zeros(ids.shape, np.int8)
         todo = np.flatnonzero(~self._plain(e)) if skip_plain else np.arange(len(ids))
         if not len(todo):
             return path
-        e = e[:, :, todo]
-        score = e[0] + self.p["start"][:, None]
-        if skip_plain:  # the same sums without back pointers show whose best path is the plain one
-            plain = score[0]
-            for t in range(1, len(e)):
-                score = (score[:, None, :] + trans[:, :, None]).max(0) + e[t]
-                plain = plain + trans[0, 0] + e[t, 0]
-            rest = score.max(0) != plain
-            if not rest.any():
-                return path
-            todo, e = todo[rest], e[:, :, rest]
-            score = e[0] + self.p["start"][:, None]
-        back = np.empty(e.shape, np.int8)
-        for t in range(1, len(e)):
-            options = score[:, None, :] + trans[:, :, None]
-            back[t] = options.argmax(0)
-            score = options.max(0) + e[t]
-        best, rows = score.argmax(0), np.arange(len(todo))
-        found = np.empty((len(todo), len(e)), np.int8)
-        found[:, -1] = best
-        for t in range(len(e) - 1, 0, -1):
-            found[:, t - 1] = back[t][found[:, t], rows]
-        path[todo] = found
+        best = e[:, :, todo]
+        best[0] += self.p["start"][:, None]
+        plain, options = best[0, 0].copy(), np.empty((*trans.shape, len(todo)), np.float32)
+        for t in range(1, len(best)):
+            plain = plain + trans[0, 0] + best[t, 0]
+            np.add(best[t - 1][:, None, :], trans[:, :, None], out=options)
+            best[t] += options.max(0)
+        rest = np.flatnonzero(best[-1].max(0) != plain) if skip_plain else np.arange(len(todo))
+        todo, best = todo[rest], best[:, :, rest]
+        tag = best[-1].argmax(0)
+        path[todo, -1] = tag
+        for t in range(len(best) - 1, 0, -1):
+            tag = (best[t - 1] + trans[:, tag]).argmax(0)
+            path[todo, t - 1] = tag
         return path
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

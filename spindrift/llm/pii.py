@@ -45,8 +45,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EVIDENCE = re.compile(r"[0-9@]")
 #: Windows of training; of reading (their lengths in steps of LENGTHS for a text's last one) and how far they lie apart; windows at a time.
-SAMPLE, WINDOW, STRIDE, CHUNK = 96, 320, 256, 1024
-LENGTHS = (64, 160, WINDOW)
+SAMPLE, WINDOW, STRIDE, CHUNK = 96, 576, 512, 512
+LENGTHS = (64, 128, 256, 384, WINDOW)
 PART_BYTES = 1 << 20
 AT_SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
 
