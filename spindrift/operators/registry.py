@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from spindrift.operators.requests import first_failure
 
@@ -162,33 +166,104 @@ def merge_config(user: Column, defaults: Column) -> Column:
     return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(user, k)), user)
 
 
+#: What ``route_errors`` and ``pool_errors`` read of a spec; fields that are absent in the JSON are null.
+ROUTE_SPEC = (
+    "match struct<operations:array<string>,models:array<string>,headers:map<string,struct<exact:string,prefix:string,regex:string>>,"
+    "timeWindow:struct<start:string,end:string,days:array<int>>>,route array<struct<pool:string,weight:int,condition:struct<queueDepth:string>>>,"
+    "fallback struct<action:string,redirectPool:string>,rateLimiting struct<requestsPerSecond:int,burstSize:int>,"
+    "retry struct<attempts:int,retryOn:array<string>>")
+POOL_SPEC = "hardware struct<accelerator:string,spot:boolean>,gke struct<autopilot:boolean,autopilotComputeClass:string>,limits map<string,string>,replicas struct<min:int,max:int>"
+#: Fixed values.
+COMPUTE_CLASSES = ["Accelerator", "Balanced", "Performance", "Scale-Out", "autopilot", "autopilot-spot"]
+RETRY_ON = ["5xx", "reset", "connect-failure", "retriable-4xx", "refused-stream", "cancelled", "deadline-exceeded", "resource-exhausted"]
+GPU_LIMITS = ["nvidia.com/gpu", "cloud.google.com/gke-gpu"]
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _compile(patterns: pd.Series) -> pd.Series:
+    def fine(pattern: str | None) -> bool:
+        try:
+            re.compile(pattern or "")
+        except re.error:
+            return False
+        return True
+
+    return patterns.map(lambda some: None if some is None else [fine(p) for p in some])
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) == ""
+
+
+def _messages(checks: list[tuple[Column, str]]) -> Column:
+    found = F.array(*[F.when(F.coalesce(broken, F.lit(False)), message) for broken, message in checks])
+    return F.filter(found, lambda message: message.isNotNull())
+
+
 def route_errors(r: Column) -> Column:
-    """All violations of a route spec, as an array of messages."""
-    d = r["route"]
-    clock = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
+    """All violations of a route spec (``ROUTE_SPEC``), as an array of messages.
+
+    Whether a pattern compiles is the one check that no expression can make; it takes a vectorised UDF over control data
+    and follows Python's pattern syntax. Null specs have no destination.
+    """
+    match, d, fallback, limit, retry = r["match"], r["route"], r["fallback"], r["rateLimiting"], r["retry"]
+    clock = r"^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
+    window = match["timeWindow"]
     unconditional = F.transform(F.filter(d, lambda x: x["condition"].isNull()), lambda x: x["pool"])
-    window, fb, limit, retry = r["match"]["timeWindow"], r["fallback"], r["rateLimiting"], r["retry"]
-    checks = [
-        (d.isNull() | (F.size(d) == 0), "at least one destination is required"), (F.exists(d, lambda x: F.coalesce(x["pool"], F.lit("")) == ""), "pool is required"),
-        (F.size(unconditional) != F.size(F.array_distinct(unconditional)), "duplicate unconditional pool"), (F.exists(d, lambda x: (x["weight"] < 0) | (x["weight"] > 100)), "weight must be 0-100"),
-        (F.exists(r["match"]["operations"], lambda o: ~o.isin("embed", "chunk", "rerank")), "unknown operation"), (F.exists(r["match"]["models"], lambda p: p == ""), "empty model pattern"),
-        (window.isNotNull() & ~(window["start"].rlike(clock) & window["end"].rlike(clock)), "time must be HH:MM"), (F.exists(window["days"], lambda x: (x < 0) | (x > 6)), "day must be 0-6"),
-        (fb.isNotNull() & ~fb["action"].isin("queue", "reject", "redirect"), "unknown fallback action"), ((fb["action"] == "redirect") & (F.coalesce(fb["redirectPool"], F.lit("")) == ""), "redirectPool is required"),
-        (limit["requestsPerSecond"] <= 0, "requestsPerSecond must be positive"), (limit["burstSize"] < 0, "burstSize must not be negative"), (retry["maxRetries"] < 0, "maxRetries must not be negative")]
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in checks]), lambda x: x.isNotNull())
+    matchers = F.map_values(match["headers"])
+    globs = F.transform(F.filter(match["models"], lambda m: m.contains("*")), lambda m: F.concat(F.lit("^"), F.replace(m, F.lit("*"), F.lit(".*")), F.lit("$")))
+    broken = lambda patterns: F.exists(_compile(patterns), lambda fine: ~fine)
+    return _messages([
+        (d.isNull() | (F.size(d) == 0), "at least one destination is required"),
+        (F.exists(d, lambda x: _blank(x["pool"])), "pool is required"),
+        (F.size(unconditional) != F.size(F.array_distinct(unconditional)), "duplicate unconditional pool"),
+        (F.exists(d, lambda x: (x["weight"] < 0) | (x["weight"] > 100)), "weight must be 0-100"),
+        (F.exists(match["operations"], lambda o: ~o.isin("embed", "chunk", "rerank")), "unknown operation"),
+        (F.exists(match["models"], lambda m: m == ""), "empty model pattern"),
+        (broken(globs), "model pattern does not compile"),
+        (F.exists(F.array(window["start"], window["end"]), lambda t: ~_blank(t) & ~t.rlike(clock)), "time must be HH:MM"),
+        (F.exists(window["days"], lambda x: (x < 0) | (x > 6)), "day must be 0-6"),
+        (F.exists(F.map_keys(match["headers"]), lambda h: h == ""), "empty header name"),
+        (F.exists(matchers, lambda m: _blank(m["exact"]) & _blank(m["prefix"]) & _blank(m["regex"])), "header needs exact, prefix or regex"),
+        (broken(F.transform(matchers, lambda m: m["regex"])), "header regex does not compile"),
+        (fallback.isNotNull() & ~F.coalesce(fallback["action"], F.lit("")).isin("queue", "reject", "redirect"), "unknown fallback action"),
+        ((fallback["action"] == "redirect") & _blank(fallback["redirectPool"]), "redirectPool is required"),
+        (limit["requestsPerSecond"] <= 0, "requestsPerSecond must be positive"),
+        (limit["burstSize"] < 0, "burstSize must not be negative"),
+        (retry["attempts"] < 0, "attempts must not be negative"),
+        (F.exists(retry["retryOn"], lambda c: ~c.isin(RETRY_ON)), "unknown retry condition")])
+
+
+def _pool_checks(p: Column) -> tuple[Column, list[tuple[Column, str]], list[tuple[Column, str]]]:
+    """Whether autopilot is on, and what both validators ask of the compute class and of the replicas."""
+    gke, replicas = p["gke"], p["replicas"]
+    auto, kind = F.coalesce(gke["autopilot"], F.lit(False)), gke["autopilotComputeClass"]
+    classes = [(~_blank(kind) & ~kind.isin(COMPUTE_CLASSES), "unknown compute class"), (~_blank(kind) & ~auto, "compute class requires autopilot")]
+    counts = [(replicas["min"] < 0, "min must not be negative"), (replicas["max"] <= 0, "max must be positive"), (replicas["max"] < replicas["min"], "max must not be below min")]
+    return auto, classes, counts
 
 
 def pool_errors(p: Column, old: Column | None = None) -> Column:
-    """All violations of a pool spec; with ``old`` also the immutable fields. Spot on autopilot is rejected for non-TPU pools."""
-    auto = F.coalesce(p["autopilot"], F.lit(False))
-    checks = [
-        (p["computeClass"].isNotNull() & ~p["computeClass"].isin("Accelerator", "Balanced", "Performance", "Scale-Out", "autopilot", "autopilot-spot"), "unknown compute class"),
-        (p["computeClass"].isNotNull() & ~auto, "compute class requires autopilot"), ((p["computeClass"] == "Accelerator") & (F.coalesce(p["accelerator"], F.lit("")) == ""), "Accelerator requires a GPU"),
-        (auto & F.coalesce(p["spot"], F.lit(False)) & ~F.coalesce(p["accelerator"], F.lit("")).startswith("tpu"), "spot conflicts with autopilot"),
-        (p["minReplicas"] < 0, "min must not be negative"), (p["maxReplicas"] < p["minReplicas"], "max must not be below min")]
+    """All violations of a pool spec (``POOL_SPEC``) at admission; with ``old`` also the fields that must not change."""
+    gke, (auto, classes, counts) = p["gke"], _pool_checks(p)
+    gpu = F.exists(F.map_keys(p["limits"]), lambda k: k.isin(GPU_LIMITS))
+    checks = [*classes, ((gke["autopilotComputeClass"] == "Accelerator") & ~F.coalesce(gpu, F.lit(False)), "Accelerator requires a GPU"),
+              (auto & F.coalesce(p["hardware"]["spot"], F.lit(False)), "spot conflicts with autopilot"), *counts]
     if old is not None:
-        checks.append((~p["workloadType"].eqNullSafe(old["workloadType"]), "workloadType is immutable"))
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in checks]), lambda x: x.isNotNull())
+        was = old["gke"]
+        was_auto = F.coalesce(was["autopilot"], F.lit(False))
+        both = gke.isNotNull() & was.isNotNull()
+        same_class = F.coalesce(gke["autopilotComputeClass"], F.lit("")) == F.coalesce(was["autopilotComputeClass"], F.lit(""))
+        checks += [(both & (auto != was_auto), "autopilot is immutable"), (both & auto & ~same_class, "compute class is immutable"),
+                   (gke.isNull() & was_auto, "gke must not be removed")]
+    return _messages(checks)
+
+
+def controller_pool_errors(p: Column) -> Column:
+    """All violations that the controller sees in a pool spec: spot is allowed for TPU pools, a GPU is not asked for."""
+    auto, classes, counts = _pool_checks(p)
+    tpu = F.coalesce(p["hardware"]["accelerator"].contains("tpu"), F.lit(False))
+    return _messages([*classes, (auto & F.coalesce(p["hardware"]["spot"], F.lit(False)) & ~tpu, "spot conflicts with autopilot"), *counts])
 
 
 def remote_list(index: DataFrame, wanted_type: str | None = None) -> DataFrame:

@@ -127,16 +127,44 @@ def test_vectors(spark):
     assert {r["k"]: r["rho"] for r in spearman(pairs, "k", "a", "b", "p").collect()} == {"same": 1.0, "flip": -1.0, "one": None}
 
 
-def test_route_and_pool_specs(spark):
-    spec = "struct<match:struct<operations:array<string>,models:array<string>,timeWindow:struct<start:string,end:string,days:array<int>>>,route:array<struct<pool:string,weight:int,condition:string>>,fallback:struct<action:string,redirectPool:string>,rateLimiting:struct<requestsPerSecond:int,burstSize:int>,retry:struct<maxRetries:int>>"
-    rows = [('{"route":[{"pool":"a","weight":80},{"pool":"b","weight":20}]}', 0), ('{"route":[]}', 1), ('{"route":[{"pool":"","weight":101}]}', 2), ('{"route":[{"pool":"a"},{"pool":"a"}],"fallback":{"action":"redirect"}}', 2),
-            ('{"route":[{"pool":"a"}],"match":{"operations":["x"],"timeWindow":{"start":"9:00","end":"17:00","days":[7]}},"retry":{"maxRetries":-1}}', 4)]
-    got = spark.createDataFrame(rows, "j string, n int").select("n", F.size(G.route_errors(F.from_json("j", spec))).alias("found")).collect()
-    assert all(r["n"] == r["found"] for r in got)
-    pool = "struct<autopilot:boolean,computeClass:string,accelerator:string,spot:boolean,minReplicas:int,maxReplicas:int,workloadType:string>"
-    rows = [('{"minReplicas":1,"maxReplicas":3}', 0), ('{"computeClass":"Accelerator"}', 2), ('{"autopilot":true,"spot":true}', 1), ('{"autopilot":true,"spot":true,"accelerator":"tpu-v5"}', 0), ('{"minReplicas":4,"maxReplicas":3}', 1)]
-    got = spark.createDataFrame(rows, "j string, n int").select("n", F.size(G.pool_errors(F.from_json("j", pool))).alias("found")).collect()
-    assert all(r["n"] == r["found"] for r in got)
+def found(spark, schema, errors, rows):
+    got = spark.createDataFrame(rows, "j string, want string").select("want", F.from_json("j", schema).alias("s"))
+    return [(r["want"], "; ".join(r["e"])) for r in got.select("want", errors(F.col("s")).alias("e")).collect()]
+
+
+def test_route_specs(spark):
+    rows = [
+        ('{"route":[{"pool":"a","weight":80},{"pool":"b","weight":20}]}', ""), ('{"route":[]}', "at least one destination is required"), ("{}", "at least one destination is required"),
+        ('{"route":[{"pool":"","weight":101}]}', "pool is required; weight must be 0-100"),
+        ('{"route":[{"pool":"a"},{"pool":"a"}],"fallback":{"action":"redirect"}}', "duplicate unconditional pool; redirectPool is required"),
+        ('{"route":[{"pool":"a"},{"pool":"a","condition":{"queueDepth":">5"}}],"fallback":{"action":"redirect","redirectPool":"b"}}', ""),
+        ('{"route":[{"pool":"a"}],"match":{"operations":["x"],"timeWindow":{"start":"9:00","end":"17:60","days":[7]}},"retry":{"attempts":-1}}', "unknown operation; time must be HH:MM; day must be 0-6; attempts must not be negative"),
+        ('{"route":[{"pool":"a"}],"match":{"timeWindow":{"start":"9:00","end":""},"models":["bge-*"],"headers":{"x":{"regex":"^a+$"}}},"retry":{"retryOn":["5xx","reset"]}}', ""),
+        ('{"route":[{"pool":"a"}],"match":{"models":["", "a(*"],"headers":{"":{"exact":"v"},"h":{},"r":{"regex":"("}}},"retry":{"retryOn":["503"]}}',
+         "empty model pattern; model pattern does not compile; empty header name; header needs exact, prefix or regex; header regex does not compile; unknown retry condition"),
+        ('{"route":[{"pool":"a"}],"fallback":{"action":"drop"},"rateLimiting":{"requestsPerSecond":0,"burstSize":-1}}', "unknown fallback action; requestsPerSecond must be positive; burstSize must not be negative")]
+    got = found(spark, G.ROUTE_SPEC, G.route_errors, rows)
+    assert [g for _, g in got] == [w for w, _ in got]
+
+
+def test_pool_specs(spark):
+    rows = [
+        ('{"replicas":{"min":1,"max":3}}', ""), ('{"replicas":{"min":4,"max":3}}', "max must not be below min"), ('{"replicas":{"min":-1,"max":0}}', "min must not be negative; max must be positive"),
+        ('{"gke":{"autopilotComputeClass":"Accelerator"}}', "compute class requires autopilot; Accelerator requires a GPU"),
+        ('{"gke":{"autopilot":true,"autopilotComputeClass":"Accelerator"},"limits":{"nvidia.com/gpu":"1"}}', ""), ('{"gke":{"autopilot":true,"autopilotComputeClass":"Fast"}}', "unknown compute class"),
+        ('{"gke":{"autopilot":true},"hardware":{"spot":true,"accelerator":"tpu-v5"}}', "spot conflicts with autopilot")]
+    got = found(spark, G.POOL_SPEC, G.pool_errors, rows)
+    assert [g for _, g in got] == [w for w, _ in got]
+    rows = [
+        ('{"gke":{"autopilot":true},"hardware":{"spot":true,"accelerator":"tpu-v5"}}', ""), ('{"gke":{"autopilot":true},"hardware":{"spot":true}}', "spot conflicts with autopilot"),
+        ('{"gke":{"autopilotComputeClass":"Accelerator"},"replicas":{"min":1,"max":0}}', "compute class requires autopilot; max must be positive; max must not be below min")]
+    got = found(spark, G.POOL_SPEC, G.controller_pool_errors, rows)
+    assert [g for _, g in got] == [w for w, _ in got]
+    pairs = [
+        ('{"gke":{"autopilot":true}}', '{"gke":{"autopilot":false}}', "autopilot is immutable"), ('{"gke":{"autopilot":true}}', "{}", ""), ("{}", '{"gke":{"autopilot":true}}', "gke must not be removed"),
+        ('{"gke":{"autopilot":true,"autopilotComputeClass":"Balanced"}}', '{"gke":{"autopilot":true}}', "compute class is immutable"), ('{"gke":{"autopilot":false}}', '{"gke":{}}', "")]
+    d = spark.createDataFrame(pairs, "new string, old string, want string").select("want", F.from_json("new", G.POOL_SPEC).alias("new"), F.from_json("old", G.POOL_SPEC).alias("old"))
+    assert all(r["want"] == "; ".join(r["e"]) for r in d.select("want", G.pool_errors(F.col("new"), F.col("old")).alias("e")).collect())
 
 
 def test_requests_edges(spark):
