@@ -66,6 +66,11 @@ def in_flight(requests: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return steps.select(key, "t", F.sum("change").over(Window.partitionBy(key).orderBy("t")).alias("in_flight"))
 
 
+def gauge_sums(gauges: DataFrame, labels: list[str], value: str, alias: str = "value") -> DataFrame:
+    """A gauge summed over all series that share the labels; without labels one row, 0 over no series."""
+    return gauges.groupBy(*labels).agg(F.coalesce(F.sum(value), F.lit(0)).alias(alias))
+
+
 def color(value: Column, warn: float, critical: float) -> Column:
     return F.when(value >= critical, "red").when(value >= warn, "yellow").otherwise("green")
 

@@ -147,8 +147,11 @@ def resolve(chosen: DataFrame, fallbacks: DataFrame, *, operation: str = "operat
 
 
 def candidates(keys: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(model, pool) keys with their candidate endpoints: those with the model, narrowed to the pool if that leaves any, else the pool's."""
-    up = endpoints.where("healthy")
+    """(model, pool) keys with their candidate endpoints: those with the model, narrowed to the pool if that leaves any, else the pool's.
+
+    Only healthy endpoints count, and with a column ``allowed`` only those whose circuit breaker lets requests through.
+    """
+    up = endpoints.where("healthy and allowed" if "allowed" in endpoints.columns else "healthy")
     with_model = keys.join(up.select(F.explode("models").alias("model"), F.col("pool").alias("home"), "address", "connections", "queue_depth"), "model")
     in_pool = F.max((F.col("home") == F.col("pool")).cast("int")).over(Window.partitionBy("model", "pool"))
     narrowed = with_model.withColumn("_any", in_pool).where((F.col("_any") == 0) | (F.col("home") == F.col("pool"))).drop("_any", "home")

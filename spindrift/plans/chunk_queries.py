@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import let, token_estimate
+from spindrift.functions.models import SentenceBoundaries, boundary_udf
 from spindrift.operators.chunking import ChunkConfig, chunk_by_model, chunk_fixed, chunk_neural
 from spindrift.sources.tables import table
 
@@ -38,6 +39,12 @@ def _neural(name: str):
     return lambda spark, sf_dir: chunk_neural(with_entities(table(spark, sf_dir, "documents")), NEURAL[name]).drop("text")
 
 
+def chunk_boundary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries from a model behind a vectorised UDF."""
+    found = table(spark, sf_dir, "documents").withColumn("entities", boundary_udf(SentenceBoundaries)(F.col("text")))
+    return chunk_neural(found, NEURAL["chunk_neural_cut"]).drop("text")
+
+
 def chunk_model_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = spark.sql("SELECT * FROM VALUES ('mini-boundary') AS t(name)")
     asked = with_entities(table(spark, sf_dir, "documents")).withColumn("model", F.expr("CASE doc_id % 4 WHEN 0 THEN 'mini-boundary' WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed-bpe-tokenizer' ELSE 'missing-model' END"))
@@ -58,7 +65,7 @@ def token_estimate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _fixed(n) for n in CONFIGS} | {n: _neural(n) for n in NEURAL} | {
-    "chunk_model_dispatch": chunk_model_dispatch, "chunk_stats_by_lang": chunk_stats_by_lang, "token_estimate": token_estimate_query}
+    "chunk_boundary_model": chunk_boundary_model, "chunk_model_dispatch": chunk_model_dispatch, "chunk_stats_by_lang": chunk_stats_by_lang, "token_estimate": token_estimate_query}
 
 _WHITE = r"[ \t\n\x0B\f\r\x{0085}\p{Z}]"
 _WHITE_HEX = "20|09|0A|0B|0C|0D|C285|C2A0|E19A80|E2808[0-9A]|E280A8|E280A9|E280AF|E2819F|E38080"
@@ -132,6 +139,7 @@ def neural_sql(c: ChunkConfig) -> str:
 
 _DISPATCH = ChunkConfig(target_tokens=100, threshold=0.4, max_chunks=ALL)
 ORACLE_SQL = {n: _rows(fixed_sql(c)) for n, c in CONFIGS.items()} | {n: _rows(neural_sql(c)) for n, c in NEURAL.items()} | {
+    "chunk_boundary_model": _rows(neural_sql(NEURAL["chunk_neural_cut"])),
     "token_estimate": "SELECT doc_id, (strlen(text) // 4)::BIGINT AS n_tokens FROM documents",
     "chunk_stats_by_lang": fixed_sql(ChunkConfig(max_chunks=ALL), key="{'d': doc_id, 'l': lang}") + _ROWS + """
         SELECT k.l AS lang, count(*) AS n_chunks, count(DISTINCT k.d) AS n_docs, sum(length(out[i].text) // 8)::BIGINT AS n_tokens, (max(i) - 1)::INT AS max_chunk_id FROM numbered GROUP BY 1""",

@@ -79,6 +79,25 @@ def inflight_gauge(spark, sf_dir):
     return M.in_flight(d, "pool", "s", "e").withColumn("in_flight", F.col("in_flight").cast("long"))
 
 
+def _endpoints(spark, sf_dir):
+    """A user as an endpoint: healthy by the last event, one connection an event, the models of its events."""
+    last = F.max_by("status", F.struct("ts", "event_id"))
+    per_user = log(spark, sf_dir).groupBy("user_id", "pool", "model").agg((last < 400).cast("int").alias("healthy"), F.count(F.lit(1)).alias("connections"))
+    return per_user.withColumn("loaded", F.lit(1))
+
+
+def health_by_pool(spark, sf_dir):
+    return M.gauge_sums(_endpoints(spark, sf_dir), ["pool"], "healthy")
+
+
+def model_distribution(spark, sf_dir):
+    return M.gauge_sums(_endpoints(spark, sf_dir), ["pool", "model"], "loaded")
+
+
+def total_connections(spark, sf_dir):
+    return M.gauge_sums(_endpoints(spark, sf_dir), [], "connections")
+
+
 def duration_parse(spark, sf_dir):
     d = frame(spark, [("1h30m",), ("250ms",), ("5m",), ("1.5s",), ("-2s",), ("x",), ("10",)], "text string")
     return d.select("text", F.coalesce(F.round(M.parse_duration(F.col("text")), 6), F.lit(-1.0)).alias("seconds"))
@@ -141,7 +160,7 @@ def queue_stats(spark, sf_dir):
 
 
 QUERIES = {n.__name__: n for n in (
-    request_counters, request_cube, latency_buckets, histogram_p99, rate_5m, rate_sliding, error_rate, scaling_triggers, gauge_colors, hpa_replicas, inflight_gauge, duration_parse, cache_ttl_hits, cache_fixed_ttl,
+    request_counters, request_cube, latency_buckets, histogram_p99, rate_5m, rate_sliding, error_rate, scaling_triggers, gauge_colors, hpa_replicas, inflight_gauge, health_by_pool, model_distribution, total_connections, duration_parse, cache_ttl_hits, cache_fixed_ttl,
     cache_hit_rate, dedup_embed_keys, model_residency, residency_stats, lru_evictions, token_bucket, circuit_breaker, bounded_queue, queue_stats)}
 
 _LOG = "WITH l AS (" + LOG.format(events="events") + ")"
@@ -163,7 +182,11 @@ _TOKENS = "least(2.0, a.s.tokens + (y.x.t - coalesce(a.s.last, y.x.t)) * (1.0 /
 _OPEN = "(a.s.state = 'open' AND y.x.t - a.s.last <= 40000)"
 _NEXT = f"(CASE WHEN {_OPEN} THEN 'open' WHEN NOT y.x.failed THEN 'closed' WHEN a.s.state = 'open' OR a.s.failures + 1 >= 2 THEN 'open' ELSE a.s.state END)"
 _STALE = "(a.s.at IS NULL OR y.x.t - a.s.at >= 36000)"
+_ENDPOINTS = _LOG + ", e AS (SELECT user_id, pool, model, arg_max(status, (ts, event_id)) < 400 AS healthy, count(*) AS connections FROM l GROUP BY ALL)"
 ORACLE_SQL = {
+    "health_by_pool": _ENDPOINTS + " SELECT pool, count(*) FILTER (healthy) AS value FROM e GROUP BY 1",
+    "model_distribution": _ENDPOINTS + " SELECT pool, model, count(*) AS value FROM e GROUP BY 1, 2",
+    "total_connections": "SELECT count(*) AS value FROM events",
     "request_counters": _LOG + " SELECT pool, model, operation, status::INT AS status, count(*) AS requests_total FROM l GROUP BY 1, 2, 3, 4",
     "request_cube": _LOG + " SELECT CASE WHEN grouping(pool) = 1 THEN '*' ELSE pool END AS pool, CASE WHEN grouping(operation) = 1 THEN '*' ELSE operation END AS operation, count(*) AS requests_total FROM l GROUP BY CUBE (pool, operation)",
     "latency_buckets": f"{_LOG}, {_BOUNDS} SELECT pool, CASE WHEN le > 1e9 THEN '+Inf' ELSE printf('%.3f', le) END AS le, count(*) FILTER (latency <= le) AS n FROM l, b GROUP BY pool, b.le",

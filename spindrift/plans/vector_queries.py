@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.functions import clip
-from spindrift.functions.models import BpeCounter, HashEmbedder, count_udf
+from spindrift.functions.models import BpeCounter, HashEmbedder, OverlapScorer, count_udf, overlap_score, score_udf
 from spindrift.functions.vectors import cosine, l2_normalize, ranks, score_max, score_min, spearman
 from spindrift.operators.serving import embed_texts, prefer_quantized, rerank
 from spindrift.sources.tables import table
@@ -27,19 +27,24 @@ def vec_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")).cast("double"), 4).alias("cosine"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, score=overlap_score) -> DataFrame:
     """Every document as a prompt of a benchmark item; documents are dealt over all items in the order of their ids."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ranked = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("request_id"), F.col("text").alias("query"))
     dealt = F.pmod(F.col("doc_id"), F.lit(max(items.count(), 1)).cast("long"))
     asked = docs.select(dealt.alias("request_id"), F.col("doc_id").alias("pos"), F.col("text").alias("prompt"), "n_chars")
-    return rerank(asked.join(ranked, "request_id"))
+    return rerank(asked.join(ranked, "request_id"), score)
 
 
 def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("request_id", "pos", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+def rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from a model behind a vectorised UDF."""
+    return _pairs(spark, sf_dir, score_udf(OverlapScorer)).select("request_id", "pos", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks(_pairs(spark, sf_dir), "request_id", "score", "pos", "rank").select("request_id", "pos", "rank")
 
@@ -77,6 +82,15 @@ def clip_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("t")).select("conv_id", "turn", "t.ids", F.aggregate("t.mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
 
 
+#: A projection of 64 dimensions to three, by a rule.
+PROJECTION = [[((row + 1) * (col + 2) % 7 - 3) / 4 for col in range(64)] for row in range(3)]
+
+
+def clip_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(clip.project(F.col("embedding"), PROJECTION)).alias("pos", "value"))
+    return found.select("vec_id", "pos", (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"))
+
+
 def bpe_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,7 +106,7 @@ def quantized_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "vec_l2_normalize": vec_l2_normalize, "vec_cosine_pairs": vec_cosine_pairs, "rerank_stub": rerank_stub, "rank_scores": rank_scores, "spearman": spearman_query,
     "score_min_max": score_min_max, "codec_roundtrip": codec_roundtrip, "codec_sizes": codec_sizes, "embed_stub": embed_stub, "clip_tokenize": clip_tokenize,
-    "bpe_token_count": bpe_token_count, "quantized_first": quantized_first}
+    "bpe_token_count": bpe_token_count, "quantized_first": quantized_first, "rerank_model": rerank_model, "clip_project": clip_project}
 
 _PAIRS = r"""
     WITH d AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS request_id, doc_id AS pos, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS pw FROM documents),
@@ -106,6 +120,11 @@ ORACLE_SQL = {
         SELECT vec_id, (i - 1)::INT AS pos, round(CASE WHEN total = 0 THEN v[i] ELSE (v[i] * scale)::FLOAT END::DOUBLE, 4) + 0.0 AS value FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM s)""",
     "vec_cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "rerank_stub": _PAIRS + " SELECT request_id, pos, round(score::DOUBLE, 5) AS score FROM p",
+    "rerank_model": _PAIRS + " SELECT request_id, pos, round(score::DOUBLE, 5) AS score FROM p",
+    "clip_project": """
+        WITH m AS (SELECT r, list_transform(generate_series(0, 63), lambda c: ((r + 1) * (c + 2) % 7 - 3) / 4.0) AS w FROM generate_series(0, 2) g(r)),
+        d AS (SELECT vec_id, r, list_dot_product(embedding::DOUBLE[], w::DOUBLE[]) AS x FROM embeddings, m)
+        SELECT vec_id, r::INT AS pos, round(CASE WHEN sum(x * x) OVER v = 0 THEN x ELSE x / sqrt(sum(x * x) OVER v) END, 4) + 0.0 AS value FROM d WINDOW v AS (PARTITION BY vec_id)""",
     "rank_scores": _PAIRS + " SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos)::INT AS rank FROM p",
     "spearman": _PAIRS + """, r AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) - row_number() OVER (PARTITION BY request_id ORDER BY n_chars DESC, pos) AS d FROM p)
         SELECT request_id, count(*) AS n, round(CASE WHEN count(*) > 1 THEN 1 - 6 * sum((d * d)::DOUBLE) / (count(*) * (count(*) * count(*) - 1)) END, 6) AS rho FROM r GROUP BY 1""",
