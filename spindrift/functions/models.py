@@ -108,6 +108,24 @@ class BpeCounter:
         return [len(self._encoding.encode_ordinary(t)) for t in texts]
 
 
+class WordPieceCounter:
+    """Token counts by a WordPiece vocabulary (one piece a line): cleaned, lower-cased, accents stripped, no end marks."""
+
+    def __init__(self, vocabulary_path: str) -> None:
+        self.vocabulary_path, self._tokenizer = vocabulary_path, None
+
+    def count(self, texts: list[str]) -> list[int]:
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+            with open(self.vocabulary_path, encoding="utf-8") as lines:
+                pieces = {line.rstrip("\n"): k for k, line in enumerate(lines) if line != "\n"}
+            self._tokenizer = Tokenizer(models.WordPiece(pieces, unk_token="[UNK]"))
+            self._tokenizer.normalizer = normalizers.BertNormalizer()
+            self._tokenizer.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+        return [len(e.ids) for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def embed_udf(make: Callable[[], Embedder]):
     """A column function text to vector. Null and empty texts give null."""
     @F.pandas_udf(ArrayType(FloatType()))
