@@ -2,8 +2,8 @@
 
 Tags are O and begin/inside for each kind. Training minimises the CRF's negative
 log likelihood by back-propagation through time with Adam; every window goes
-through both directions, and decoding is Viterbi, left out only where the scores
-prove that the best path has no span.
+through both directions, and decoding is Viterbi, left out only at places where the
+scores prove that the best path has no span.
 """
 
 from __future__ import annotations
@@ -70,35 +70,41 @@ class Tagger:
         return out
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Tag scores of windows (B, T): T, tags, B.
+        """Tag scores of windows (B, T) less those of O, which leaves every best path: T, tags, B.
 
-        Both directions advance in one step. A step's input (last state, embedded character, 1) is one block, so the
-        gates are one product; they stand one below the other, each a contiguous block. A gate is (1 + q) / 2 with q its
+        Both directions advance in one step. A step's input (last state, embedded character, 1) is one block, so its gates
+        and the last state's scores are one product; they stand one below the other, each a contiguous block, with the
+        cells last, so that input and forget gates meet the update and the cells at once. A gate is (1 + q) / 2 with q its
         squashed sum: the halves of the states are moved into the weights, those of the cells are taken once a step.
         """
         p, (size, steps) = self.p, ids.shape
-        hidden, embed = p["whf"].shape[0], p["emb"].shape[1]
-        weights = np.stack([np.concatenate([0.5 * p[f"wh{d}"], p[f"wx{d}"], p[f"b{d}"][None]]).T for d in "fb"]).astype(np.float32)
-        heads = [np.ascontiguousarray(0.5 * p["wo"][k * hidden:(k + 1) * hidden].T) for k in range(2)]
+        hidden, embed, tags = p["whf"].shape[0], p["emb"].shape[1], len(p["bo"]) - 1
+        heads = 0.5 * (p["wo"][:, 1:] - p["wo"][:, :1]).T
+        weights = np.zeros((2, tags + 4 * hidden, hidden + embed + 1), np.float32)
+        for k, d in enumerate("fb"):
+            weights[k, :tags, :hidden] = heads[:, k * hidden:(k + 1) * hidden]
+            i, f, o, u = np.split(np.concatenate([0.5 * p[f"wh{d}"], p[f"wx{d}"], p[f"b{d}"][None]]).T, 4)
+            weights[k, tags:] = np.concatenate([o, i, f, u])
         seen = np.ascontiguousarray(p["emb"].astype(np.float32)[ids.T].transpose(0, 2, 1))  # T, embed, B
-        out = np.empty((steps, len(p["bo"]), size), np.float32)
-        out[:] = p["bo"][:, None]
+        out = np.zeros((steps, tags + 1, size), np.float32)
+        out[:, 1:] = (p["bo"][1:] - p["bo"][0])[:, None]
         given = np.zeros((2, hidden + embed + 1, size), np.float32)
         given[:, -1] = 1
         h, x = given[:, :hidden], given[:, hidden:-1]
-        c, work = np.zeros((2, hidden, size), np.float32), np.empty((2, 4 * hidden, size), np.float32)
-        g = np.empty_like(work)
-        i, f, o, u = (g[:, k * hidden:(k + 1) * hidden] for k in range(4))
+        rows, work = np.zeros((2, tags + 5 * hidden, size), np.float32), np.empty((2, 4 * hidden, size), np.float32)
+        product, scores, g = rows[:, :-hidden], rows[:, :tags], rows[:, tags:-hidden]
+        o, both, pair, u, c = (rows[:, tags + s * hidden:tags + e * hidden] for s, e in ((0, 1), (1, 3), (3, 5), (3, 4), (4, 5)))
         for t in range(steps):
             x[0], x[1] = seen[t], seen[steps - 1 - t]
-            np.matmul(weights, given, out=g)
+            np.matmul(weights, given, out=product)
+            if t:
+                out[t - 1, 1:] += scores[0]
+                out[steps - t, 1:] += scores[1]
             np.abs(g, out=work)
             work += 1
             g /= work
-            f *= c
-            c += f
-            i *= u
-            c += i
+            both *= pair
+            pair += both
             c += u
             c *= 0.5
             np.abs(c, out=h)
@@ -106,47 +112,75 @@ class Tagger:
             np.divide(c, h, out=h)
             o *= h
             h += o
-            out[t] += heads[0] @ h[0]
-            out[steps - 1 - t] += heads[1] @ h[1]
+        out[-1, 1:] += weights[0, :tags, :hidden] @ h[0]
+        out[0, 1:] += weights[1, :tags, :hidden] @ h[1]
         return out
 
-    def _plain(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path has no span for certain.
+    def _open(self, e: np.ndarray) -> np.ndarray:
+        """Places whose tag is not O for certain: B, T.
 
-        A path with a run of L other tags differs from the plain one by L emission differences, at most one way in,
-        one way out and L - 1 inner transitions; if each emission difference is below what a transition can win back,
-        every such run loses.
+        A run of other tags differs from the plain path by its emission differences, the way in, the way out and its
+        inner transitions, and a run of the best path wins. A place is open if some run through it may win, each part
+        taken at its most; sums from both sides give the best such run of every place.
         """
         trans, start = self.p["trans"] - self.p["trans"][0, 0], self.p["start"] - self.p["start"][0]
-        way_in, way_out = max(trans[0, 1:].max(), start[1:].max()), max(trans[1:, 0].max(), 0.0)
-        return ((e[:, 1:].max(1) - e[:, 0]).max(0) < -max(way_in + way_out, trans[1:, 1:].max(), 0.0) - 1e-3)
+        way_in, way_out, inner = trans[0, 1:].max(), trans[1:, 0].max(), trans[1:, 1:].max()
+        gain = e[:, 1].copy()
+        for k in range(2, e.shape[1]):
+            np.maximum(gain, e[:, k], out=gain)
+        gain += inner - e[:, 0]
+        left, right = np.empty_like(gain), np.empty_like(gain)  # of runs that end, or begin, at a place
+        left[0], right[-1] = gain[0] + start[1:].max(), gain[-1]
+        for t in range(1, len(gain)):
+            np.maximum(left[t - 1], way_in, out=left[t])
+            left[t] += gain[t]
+            np.maximum(right[-t], way_out, out=right[-t - 1])
+            right[-t - 1] += gain[-t - 1]
+        left += right
+        left -= gain
+        return (left >= inner - 1e-2).T
 
     def decode(self, ids: np.ndarray, skip_plain: bool = True) -> np.ndarray:
         """The best tag path of every window: B, T.
 
-        The search keeps the best scores and no back pointers: the way back takes the best predecessor of the one tag
-        that the path has. Windows that are plain for certain need no search, those whose best score is the plain
-        path's no way back.
+        Places that are O for certain cut a window into stretches that are searched apart, all windows' stretches of at
+        least a length at once. The search keeps the best scores and no back pointers: the way back takes the best
+        predecessor of the one tag that the path has.
         """
-        e, trans = self.emissions(ids), self.p["trans"]
+        e, trans, start = self.emissions(ids), self.p["trans"], self.p["start"]
+        wide = np.zeros((len(ids), ids.shape[1] + 2), np.int8)
+        wide[:, 1:-1] = self._open(e) if skip_plain else True
+        step = np.diff(wide, axis=1).ravel()
+        row, first = np.divmod(np.flatnonzero(step == 1), wide.shape[1] - 1)
+        size = np.flatnonzero(step == -1) % (wide.shape[1] - 1) - first
         path = np.zeros(ids.shape, np.int8)
-        todo = np.flatnonzero(~self._plain(e)) if skip_plain else np.arange(len(ids))
-        if not len(todo):
+        if not len(row):
             return path
-        best = e[:, :, todo]
-        best[0] += self.p["start"][:, None]
-        plain, options = best[0, 0].copy(), np.empty((*trans.shape, len(todo)), np.float32)
-        for t in range(1, len(best)):
-            plain = plain + trans[0, 0] + best[t, 0]
-            np.add(best[t - 1][:, None, :], trans[:, :, None], out=options)
-            best[t] += options.max(0)
-        rest = np.flatnonzero(best[-1].max(0) != plain) if skip_plain else np.arange(len(todo))
-        todo, best = todo[rest], best[:, :, rest]
-        tag = best[-1].argmax(0)
-        path[todo, -1] = tag
-        for t in range(len(best) - 1, 0, -1):
-            tag = (best[t - 1] + trans[:, tag]).argmax(0)
-            path[todo, t - 1] = tag
+        order = np.argsort(-size, kind="stable")
+        row, first, size = row[order], first[order], size[order]
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # stretches longer than k
+        ends = np.cumsum(active)
+        which = np.arange(ends[-1]) - np.repeat(ends - active, active)  # the stretch of every place, places in order of k
+        row, at = row[which], first[which] + np.repeat(np.arange(len(active)), active)
+        best = np.ascontiguousarray(e[at, :, row].T)
+        best[:, :active[0]] += np.where(first == 0, start[:, None], trans[0][:, None])
+        options = np.empty((*trans.shape, min(active[0], 256)), np.float32)
+        for k in range(1, len(active)):
+            n, before, last = active[k], ends[k - 1] - active[k - 1], ends[k - 1]
+            for s in range(0, n, 256):
+                m = min(256, n - s)
+                np.add(best[:, None, before + s:before + s + m], trans[:, :, None], out=options[:, :, :m])
+                best[:, last + s:last + s + m] += options[:, :, :m].max(0)
+        after = np.where(first + size < ids.shape[1], trans[:, :1], np.float32(0))
+        found, ending = np.zeros(ends[-1], np.int8), 0
+        for n, end in zip(active[::-1], ends[::-1], strict=True):
+            way = best[:, end - n:end]
+            if ending:
+                way[:, :ending] += trans[:, tag]
+            way[:, ending:] += after[:, ending:n]
+            tag, ending = way.argmax(0), n
+            found[end - n:end] = tag
+        path[row, at] = found
         return path
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

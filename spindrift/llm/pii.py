@@ -186,12 +186,24 @@ def fit_tagger(rows: int = 4000, epochs: int = 12, seed: int = 11) -> Tagger:
     return train(*windows_of(labelled_texts(rows, seed), seed), 1 + 2 * len(KINDS), epochs=epochs, seed=seed)
 
 
+def spans_of_paths(paths: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
+    """(row, kind, start, end) of the runs of one kind in decoded paths; a begin tag or another kind starts a new run."""
+    kind = (paths + 1) // 2
+    edge = np.ones(paths.shape, bool)
+    edge[:, 1:] = (kind[:, 1:] != kind[:, :-1]) | (paths[:, 1:] % 2 == 1)
+    at = np.flatnonzero(edge)
+    ends = np.append(at[1:], paths.size)
+    some = kind.ravel()[at] > 0
+    at, ends = at[some], ends[some]
+    row = at // max(paths.shape[1], 1)
+    base = row * paths.shape[1]
+    for r, k, s, e in zip(row.tolist(), kind.ravel()[at].tolist(), (at - base).tolist(), (ends - base).tolist(), strict=True):
+        yield r, KINDS[k - 1], s, e
+
+
 def spans_of_path(path: np.ndarray) -> list[tuple[str, int, int]]:
-    """Runs of one kind in a decoded path; a begin tag or another kind starts a new run."""
-    kind = np.where(path > 0, (path + 1) // 2, 0)
-    edge = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (path[1:] % 2 == 1))))
-    ends = np.append(edge[1:], len(path))
-    return [(KINDS[kind[s] - 1], int(s), int(e)) for s, e in zip(edge, ends, strict=True) if kind[s]]
+    """The runs of one decoded path."""
+    return [run[1:] for run in spans_of_paths(np.asarray(path)[None])]
 
 
 def reconcile(found: list[tuple[str, int, int]], holds: Callable[[str, int, int], bool] = lambda kind, s, e: True) -> list[tuple[str, int, int]]:
@@ -251,14 +263,11 @@ def windows(size: int) -> Iterator[tuple[int, int]]:
         start += STRIDE
 
 
-def own_spans(path: np.ndarray, start: int, end: int, size: int) -> Iterator[tuple[str, int, int]]:
-    """A window's spans as places of the text, without those that an edge cuts and a neighbour sees whole."""
-    for kind, s, e in spans_of_path(path[:end - start]):
-        s, e = s + start, e + start
-        cut_left = s == start > 0 and e <= start - STRIDE + WINDOW
-        cut_right = e == end < size and s >= start + STRIDE
-        if not (cut_left or cut_right):
-            yield kind, s, e
+def own_span(s: int, e: int, start: int, end: int, size: int) -> bool:
+    """Whether a window's span is not one that the window's edge cuts and a neighbour sees whole."""
+    cut_left = s == start > 0 and e <= start - STRIDE + WINDOW
+    cut_right = e == end < size and s >= start + STRIDE
+    return not (cut_left or cut_right)
 
 
 def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
@@ -280,9 +289,12 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[str, int, int]]]:
         for row, (_, _, _, part) in zip(ids, some, strict=True):
             row[:len(part)] = part
         paths = model.decode(ids) if some else ids
-        for k in np.flatnonzero(paths.any(1)):
-            text, start, end, _ = some[k]
-            found[text].extend(own_spans(paths[k], start, end, len(texts[text])))
+        rows = np.flatnonzero(paths.any(1))
+        for k, kind, s, e in spans_of_paths(paths[rows]):
+            text, start, end, _ = some[rows[k]]
+            s, e = s + start, min(e + start, end)  # what stands behind a text's end is padding
+            if s < e and own_span(s, e, start, end, len(texts[text])):
+                found[text].append((kind, s, e))
         some.clear()
 
     for k, text in enumerate(texts):

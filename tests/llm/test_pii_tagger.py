@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from spindrift.llm import pii
+from spindrift.llm.char_tagger import Tagger
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,39 @@ def test_added_spans_on_documents(model, spark):
     got = {r.doc_id: r.spans.split(",") for r in pii.find_personal_data(docs, model).collect()}
     caught = sum(f"card_like:{s}:{e}" in got[i] for i, s, e in want)
     assert want and caught >= 0.9 * len(want)
+
+
+def plain_search(model, ids):
+    """Best paths window by window, with back pointers."""
+    e, trans = model.emissions(ids).astype(np.float64), model.p["trans"].astype(np.float64)
+    paths = np.zeros(ids.shape, np.int64)
+    for k in range(len(ids)):
+        score, back = e[0, :, k] + model.p["start"], []
+        for t in range(1, len(e)):
+            ways = score[:, None] + trans
+            back.append(ways.argmax(0))
+            score = ways.max(0) + e[t, :, k]
+        tag = int(score.argmax())
+        for t in range(len(e) - 1, -1, -1):
+            paths[k, t] = tag
+            tag = int(back[t - 1][tag]) if t else tag
+    return paths
+
+
+def test_stretches_of_open_places_hold_every_best_path():
+    rng = np.random.default_rng(5)
+    for seed in range(6):
+        made = Tagger.fresh(9, 12, 16, np.random.default_rng(seed))
+        made.p |= {"trans": rng.normal(0, 1, (9, 9)).astype(np.float32), "start": rng.normal(0, 1, 9).astype(np.float32), "bo": rng.normal(0, 1, 9).astype(np.float32)}
+        made.p["bo"][0] += 1.5 * seed  # from spans everywhere to few
+        ids = rng.integers(1, 98, (20, 70))
+        assert (made.decode(ids) == plain_search(made, ids)).all()
+        scores = np.concatenate([made._run(ids, d, None) for d in "fb"], axis=2) @ made.p["wo"] + made.p["bo"]
+        assert np.allclose(made.emissions(ids).transpose(0, 2, 1), scores - scores[:, :, :1], atol=1e-4)
+
+
+def test_only_open_places_are_searched(model, spark, data_dir):
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").where("length(text) >= 576").select("text").limit(200).collect()]
+    ids = np.stack([pii.char_ids(t[:pii.WINDOW]) for t in texts])
+    assert 0 < model._open(model.emissions(ids)).mean() < 0.25
+    assert (model.decode(ids[:40]) == plain_search(model, ids[:40])).all()
